@@ -7,17 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op3_best_two_fit
+from .quality import op9_ngram_logistic
 from .reputation import op6_host_reputation
 from .ring import op10_bounded_ring
+from .topk import op7_impact_ordered
+from .toxicity import op8_compression_distance
 from .wavelet import op1_wavelet_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_wavelet_shards, op3_best_two_fit, op6_host_reputation, op10_bounded_ring)
+    found = (op1_wavelet_shards, op3_best_two_fit, op6_host_reputation, op7_impact_ordered, op8_compression_distance, op9_ngram_logistic, op10_bounded_ring)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_impact_ordered": TOP_K_SQL}
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query, c.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query, rank, vec_id, score FROM r WHERE rank <= 20
+"""
