@@ -14,6 +14,7 @@ from ..operators import decisions, features, residuals, rules, scenario
 from ..sources import io
 from ..sources import schema as S
 from ..sources.telemetry import VIEW, as_sql, telemetry
+from . import models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -676,3 +677,43 @@ def nonconstant_columns(spark, d):
 @query("feature_frame")
 def feature_frame(spark, d):
     return features.feature_frame(telemetry(spark, d))
+
+
+# -- models: boosting has no counterpart in SQL -----------------------------
+
+SMALL = models.Settings(surrogate_trees=3, surrogate_depth=3, trees=3, depth=3, categorical_trees=3, folds=2, parallel=2)
+
+
+def narrow(spark: SparkSession, d: str) -> DataFrame:
+    """Feature rows of one family with few columns, so that a model plan stays small."""
+    t = telemetry(spark, d)
+    out = features.family_columns(t, *rules.NEEDS, "percentages", "temperature", keys=("Id", "Label", *[x for s in residuals.TARGETS.values() for x in s if x]))
+    return rules.refreshed(out, ["noncanonical"]).filter(F.col("device_family") == "canon10")
+
+
+@query("surrogate_fit_score")
+def surrogate_fit_score(spark, d):
+    rows = narrow(spark, d)
+    inputs = ["voltage_pct", "temp_mean", "temp_max", "enter_service_total_delay"]
+    fitted = models.fit_surrogates(rows, SMALL, inputs)
+    return residuals.residuals(models.with_predictions(rows, fitted, inputs)).select("Id", *[f"{k}_{t}" for t in residuals.TARGETS for k in ("pred", "resid")])
+
+
+@query("oof_numeric")
+def oof_numeric(spark, d):
+    rows = narrow(spark, d).withColumn("fold", F.pmod("Id", F.lit(SMALL.folds)).cast("int"))
+    return models.out_of_fold(models.vectors(rows, ["voltage_pct", "w_pct_of_rtg", "temp_mean", "wset_abs_error"]), SMALL, SMALL.trees, "fold", "probability_1").select("Id", "fold", "probability_1")
+
+
+@query("oof_categorical")
+def oof_categorical(spark, d):
+    rows = narrow(spark, d).withColumn("fold", F.pmod("Id", F.lit(SMALL.folds)).cast("int"))
+    indexed = models.StringIndexer(inputCol="device_fingerprint", outputCol="_fingerprint", handleInvalid="keep").fit(rows).transform(rows)
+    return models.out_of_fold(models.vectors(indexed, ["w_pct_of_rtg", "wset_abs_error", "_fingerprint"]), SMALL, SMALL.categorical_trees, "fold", "probability_1").select("Id", "fold", "probability_1")
+
+
+@query("fit_predict")
+def fit_predict(spark, d):
+    t = telemetry(spark, d)
+    fitted = models.fit(t.filter("Id % 4 <> 0"), SMALL)
+    return models.score(t.filter("Id % 4 = 0").drop("Label"), fitted)
