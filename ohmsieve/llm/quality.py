@@ -130,11 +130,11 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     feed = data == 10
     begin = np.union1d(offs[:-1][words > 0], np.flatnonzero(feed) + 1)
     begin = begin[begin < len(data)]
-    stop = np.sort(np.concatenate((np.flatnonzero(feed), offs[1:])))
-    stop = stop[np.searchsorted(stop, begin)] if len(begin) else begin
-    has = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
-    begin, stop = begin[has], stop[has]
     doc = np.searchsorted(offs, begin, "right") - 1
+    feeds = np.append(np.flatnonzero(feed), len(data))
+    stop = np.minimum(feeds[np.searchsorted(feeds, begin)], offs[doc + 1])
+    has = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
+    begin, stop, doc = begin[has], stop[has], doc[has]
     out["n_dup_lines"] = _later_equal(tv.span_hash(data, begin, stop), doc, docs)
     grams, first = tv.doc_grams(tv.span_hash(data, starts, ends), ptr, 5)
     gdoc = tv.owner(ptr)[first] if len(first) else first
