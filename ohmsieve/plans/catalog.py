@@ -593,11 +593,11 @@ def exact_quantiles(spark, d):
     return q.select("device_family", *[F.round(c, 9).alias(c) for c in q.columns if c != "device_family"])  # the last bits depend on the order of interpolation
 
 
-@query("residual_calibration", over("SELECT u.Id, " + ", ".join(f"{q_bit(f'abs(norm_{t}) >= {t}_{k}')} AS {k}_resid_{t}" for t in RES for k in residuals.LEVELS) + ", " + q_sum(f"coalesce({q_div(f'abs(norm_{t})', f'{t}_extreme')}, 0e0)" for t in RES) + " AS resid_quantile_score, " + ", ".join(q_sum(q_bit(f"abs(norm_{t}) >= {t}_{k}") for t in RES) + f" AS resid_{k}_count" for k in residuals.LEVELS) + " FROM u LEFT JOIN z USING (device_family)", RESID + QUANTS))
+@query("residual_calibration", over("SELECT u.Id, " + ", ".join(f"{q_bit(f'abs(norm_{t}) >= {t}_{k}')} AS {k}_resid_{t}" for t in RES for k in residuals.LEVELS) + ", round(" + q_sum(f"coalesce({q_div(f'abs(norm_{t})', f'{t}_extreme')}, 0e0)" for t in RES) + ", 6) AS resid_quantile_score, " + ", ".join(q_sum(q_bit(f"abs(norm_{t}) >= {t}_{k}") for t in RES) + f" AS resid_{k}_count" for k in residuals.LEVELS) + " FROM u LEFT JOIN z USING (device_family)", RESID + QUANTS))
 def residual_calibration(spark, d):
     p = residuals.residuals(predicted(spark, d))
     names = [f"{k}_resid_{t}" for t in residuals.TARGETS for k in residuals.LEVELS]
-    return residuals.calibrated(p, residuals.quantiles(p)).select("Id", *names, "resid_quantile_score", *[f"resid_{k}_count" for k in residuals.LEVELS])
+    return residuals.calibrated(p, residuals.quantiles(p)).select("Id", *names, F.round("resid_quantile_score", 6).alias("resid_quantile_score"), *[f"resid_{k}_count" for k in residuals.LEVELS])
 
 
 MODE = {
