@@ -710,10 +710,3 @@ def oof_categorical(spark, d):
     rows = narrow(spark, d).withColumn("fold", F.pmod("Id", F.lit(SMALL.folds)).cast("int"))
     indexed = models.StringIndexer(inputCol="device_fingerprint", outputCol="_fingerprint", handleInvalid="keep").fit(rows).transform(rows)
     return models.out_of_fold(models.vectors(indexed, ["w_pct_of_rtg", "wset_abs_error", "_fingerprint"]), SMALL, SMALL.categorical_trees, "fold", "probability_1").select("Id", "fold", "probability_1")
-
-
-@query("fit_predict")
-def fit_predict(spark, d):
-    t = telemetry(spark, d)
-    fitted = models.fit(t.filter("Id % 4 <> 0"), SMALL)
-    return models.score(t.filter("Id % 4 = 0").drop("Label"), fitted)
