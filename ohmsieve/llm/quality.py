@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .sample import labelled_texts, logistic, natural
+from .sample import labelled_texts, logistic, natural, slices
 from .store import read, small_batches
 
 #: Labelled documents of each class that may be used for fitting, and the bytes of the longest.
@@ -77,12 +77,14 @@ class NgramModel:
 
 def _shares(texts: list[bytes]):
     """For each kind: document and table index of its distinct features, and their share of the document."""
-    offs = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    for i, ptr in features(data, offs):
-        key, n = np.unique(tv.owner(ptr).astype(np.int64) << BITS | i, return_counts=True)
-        doc = key >> BITS
-        yield doc, key & (1 << BITS) - 1, n / np.maximum(1, np.diff(ptr))[doc]
+    kinds, before = [[], [], []], 0
+    for data, offs in slices(texts):
+        for out, (i, ptr) in zip(kinds, features(data, offs), strict=True):
+            key, n = np.unique(tv.owner(ptr) << BITS | i.astype(np.int64), return_counts=True)
+            doc = key >> BITS
+            out.append(((before + doc).astype(np.int32), (key & (1 << BITS) - 1).astype(np.int32), (n / np.maximum(1, np.diff(ptr))[doc]).astype(np.float32)))
+        before += len(offs) - 1
+    return [tuple(np.concatenate(x) for x in zip(*out, strict=True)) for out in kinds]
 
 
 def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = None, rounds: int = 80) -> NgramModel:
@@ -93,7 +95,7 @@ def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = N
     learn = np.array([zlib.crc32(t) % 5 > 0 for t in texts])
     if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
         learn = np.ones(len(y), bool)
-    kinds = list(_shares([t for t, k in zip(texts, learn, strict=True) if k]))
+    kinds = _shares([t for t, k in zip(texts, learn, strict=True) if k])
     yl = y[learn]
     weight = np.where(yl == 1, 0.5 / max(1, yl.sum()), 0.5 / max(1, (1 - yl).sum()))
     # a share is scaled by its spread, so that rare and frequent features move alike
@@ -112,8 +114,7 @@ def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = N
     model = NgramModel([(t * c).astype(np.float64) for t, c in zip(tables, scale, strict=True)])
     held = ~learn if (~learn).any() else learn
     side = [t for t, k in zip(texts, held, strict=True) if k]
-    offs = np.concatenate(([0], np.cumsum([len(t) for t in side])))
-    z = model.raw(np.frombuffer(b"".join(side), np.uint8), offs)
+    z = np.concatenate([model.raw(data, offs) for data, offs in slices(side)])
     w = logistic(np.stack([z / 10, np.ones(len(z))], 1), y[held], natural(y[held], totals or {}), ridge=1e-3)
     model.slope, model.bias = float(w[0]) / 10, float(w[1])
     return model

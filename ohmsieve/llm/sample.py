@@ -26,6 +26,20 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return list(found), list(found.values()), totals
 
 
+def slices(texts: list[bytes], limit: int = 1 << 20):
+    """(data, offs) of consecutive texts, about ``limit`` bytes at once, which bounds what the driver holds."""
+    import numpy as np
+
+    part, size = [], 0
+    for t in [*texts, None]:
+        if part and (t is None or size + len(t) > limit):
+            yield np.frombuffer(b"".join(part), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in part])))
+            part, size = [], 0
+        if t is not None:
+            part.append(t)
+            size += len(t)
+
+
 def natural(labels, totals: dict[int, int]):
     """Weights that give a sample's classes the shares they have among all labelled rows; their mean is 1."""
     import numpy as np

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .sample import labelled_texts, logistic, natural
+from .sample import labelled_texts, logistic, natural, slices
 from .store import read, small_batches
 
 WINDOW_WORDS = 3
@@ -112,8 +112,10 @@ def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = N
             learn = np.arange(len(y)) >= 0
             break
     fresh = apart(texts)
-    words = [set(bare_words(t)) if k and f else set() for t, k, f in zip(texts, learn, fresh, strict=True)]
-    seen = {c: Counter(w for ws, v, k in zip(words, labels, learn, strict=True) if k and v == c for w in ws) for c in (0, 1)}
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for t, v, k, f in zip(texts, labels, learn, fresh, strict=True):
+        if k and f:
+            seen[v].update(set(bare_words(t)))
     n = {c: max(1, int((y[learn & np.array(fresh)] == c).sum())) for c in (0, 1)}
 
     def lift(w: bytes) -> float:
@@ -134,8 +136,8 @@ def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = N
     model = CompressionModel(own + shared, filler + shared, prior=float(y.mean()))
     held = ~learn if (~learn).any() else learn
     side = [t for t, k in zip(texts, held, strict=True) if k]
-    offs = np.concatenate(([0], np.cumsum([len(t) for t in side])))
-    x = model.profiles(np.frombuffer(b"".join(side), np.uint8), offs, model.compressors())
+    pair = model.compressors()
+    x = np.concatenate([model.profiles(data, offs, pair) for data, offs in slices(side)])
     model.weights = logistic(x, y[held], natural(y[held], totals or {}), ridge=2e-4)
     return model
 
