@@ -33,6 +33,8 @@ BLOCK = 8192
 #: A shard is closed once it has so many tokens.
 SHARD_TOKENS = 1 << 20
 END_ID = 0
+#: Shard files that one task reads.
+READ_SHARDS = 8
 
 
 def _pack(raw: bytes) -> bytes:
@@ -243,7 +245,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """Every document as the shard files have it: doc_id, start, n_tokens and the ids' crc32."""
     # one row for each shard, so this one ordered window stays small
     before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("start")).repartition("file")
+    placed = manifest.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("start"))
+    placed = placed.repartition(max(1, -(-manifest.count() // READ_SHARDS)), "file")
 
     def task(batches):
         for batch in batches:
