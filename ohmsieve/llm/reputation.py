@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read
+from .store import Workspace, read
 
 #: (verdict, rule): a host and its subdomains, with the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -78,6 +78,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     """
     hosts = outcomes.groupBy("host", "domain", "suffix").agg(F.sum("good").alias("k"), F.count("good").alias("n"))
     hosts = hosts.withColumns({"k": F.coalesce("k", F.lit(0)).cast("double"), "n": F.col("n").cast("double")})
+    hosts = Workspace(hosts.sparkSession, "reputation").table("counts", hosts)  # read at every level
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m0"))
@@ -104,7 +105,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float =
     domain, suffix = site_of(F.col("host"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     seen = rows.select("page_id", "host", domain.alias("domain"), suffix.alias("suffix")).join(outcomes.select("page_id", "good"), "page_id", "left")
-    rep = reputations(seen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ws = Workspace(pages.sparkSession, "reputation")
+    rep = ws.table("hosts", reputations(seen)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumns({"rule": name, "_said": verdict, "salt": F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")})
     out = rows.join(rep, ["host", "salt"], "left")
     by_method = F.when(F.col("host_bound") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
