@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; bounds the temporary arrays, not the texts.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:

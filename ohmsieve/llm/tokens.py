@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_500_000
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
