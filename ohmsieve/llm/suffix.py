@@ -11,8 +11,10 @@ reach of the next window; matches of at least ``MIN_WORDS`` words are kept and
 joined into spans.
 
 The array is sorted by ranges of (suffix, document, position), so a passage
-with very many copies is spread over tasks; the first and last suffix of each
-range are compared apart.
+with very many copies is spread over tasks.  A suffix is compared with NEAR
+neighbours on either side; what they leave open in long runs of equal first
+words and at the ends of a range is settled by counts of passage hashes, so no
+repeated passage is missed however many suffixes lie between its copies.
 
 Defined cases: a null or empty text, or one of fewer words, has no span;
 repeats inside one document count as repeats; rows that share a ``doc_id``
@@ -22,6 +24,8 @@ no part; an empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +42,7 @@ SIDE = WINDOW - 1
 #: Text bytes for each block of suffix hashes, and bits of the table of repeated ones (a fixed size).
 BLOCK_BYTES = 256 << 20
 SEEN_BITS = 26
-#: Neighbours on either side with which a suffix is compared: the nearest share most on the right, others may share more on the left.
+#: Neighbours on either side with which a suffix is compared before hashes of passages settle the rest.
 NEAR = 4
 U = np.uint64
 
@@ -146,61 +150,96 @@ def extend(key: np.ndarray, after: np.ndarray, before: np.ndarray, far: int = 1)
     return at[ok], left[ok], right[ok]
 
 
-FOUND = "key long, doc_id long, pos long, left long, right long, part int, side int, after binary, before binary"
+def windows(key: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each passage of MIN_WORDS words around a suffix's first words, by the words on its left, and which exist."""
 
+    def heads(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), SIDE + 1), U)
+        for k in range(SIDE):
+            out[:, k + 1] = tv.mix(out[:, k] + x[:, k].astype(U))
+        return out
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """Matches of sorted suffixes with their neighbours (side null), and the outermost suffixes of each range (side 0 or 1)."""
+    def there(x: np.ndarray) -> np.ndarray:
+        return np.cumprod(np.column_stack((np.ones(len(x), bool), x != 0)), axis=1).astype(bool)
 
-    def task(batches):
-        from pyspark import TaskContext
+    shift = tv.mix(np.arange(1, SIDE + 2, dtype=U))
+    h = tv.mix(tv.mix(key.view(U)[:, None] + shift) + heads(before)) + tv.mix(heads(after)[:, ::-1] + shift)
+    return tv.mix(h), there(before) & there(after)[:, ::-1]
 
-        part, held, first = TaskContext.get().partitionId(), None, True
-        names = ["key", "doc_id", "pos", "left", "right", "part", "side", "after", "before"]
 
-        def edge(t: pa.Table, i: int, side: int) -> pa.RecordBatch:
-            r = {k: t.column(k)[i].as_py() for k in ("key", "doc_id", "pos", "after", "before")}
-            return pa.RecordBatch.from_pydict({"key": [r["key"]], "doc_id": [r["doc_id"]], "pos": [r["pos"]], "left": [0], "right": [0], "part": pa.array([part], pa.int32()), "side": pa.array([side], pa.int32()), "after": pa.array([r["after"]], pa.binary()), "before": pa.array([r["before"]], pa.binary())})
+#: kind 0: a match; 1: a passage (``window``) and how many suffixes of a batch have it (``pos``); 2: a suffix's passage that no neighbour has.
+FOUND = "kind int, key long, doc_id long, pos long, left long, right long, window long"
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch] if held is None else [held, batch])
-            if first:
-                yield edge(t, 0, 0)
-                first = False
-            key, doc, pos = (t.column(k).to_numpy() for k in ("key", "doc_id", "pos"))
-            after, before = _sides(t.column("after")), _sides(t.column("before"))
-            for far in range(1, min(NEAR, len(key) - 1) + 1):
-                at, left, right = extend(key, after, before, far)
-                both = np.concatenate((at, at + far))
-                n = len(both)
-                if n:
-                    cols = [pa.array(key[both]), pa.array(doc[both]), pa.array(pos[both]), pa.array(np.tile(left, 2)), pa.array(np.tile(right, 2)), pa.array(np.full(n, part), pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names)
-            held = t.slice(max(0, t.num_rows - NEAR)).combine_chunks().to_batches()[0]
-        if held is not None:
-            yield edge(pa.Table.from_batches([held]), held.num_rows - 1, 1)
 
-    ordered = rows.repartitionByRange("key", "after", "doc_id", "pos").sortWithinPartitions("key", "after", "doc_id", "pos")
-    return ordered.mapInArrow(task, FOUND)
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Matches of sorted suffixes with their neighbours, and what is left open.
 
+    Suffixes with the same first words are all compared with each other where
+    they are at most NEAR + 1 and lie in one range.  Of longer runs, and of
+    those at the ends of a range, all passages are counted by hash, once a batch,
+    and those of which no neighbour has shown a copy are listed.
+    """
+    names, reach = [f.split()[0] for f in FOUND.split(", ")], NEAR + 1
 
-def across(edges: DataFrame) -> DataFrame:
-    """Matches between the last suffix of a range and the first of the next; two rows a range, so one task compares them."""
+    def out(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind), pa.int32()), *(pa.array(c.astype(np.int64)) for c in cols)], names)
 
     def task(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if tables:
-            t = pa.concat_tables(tables)
-            key, doc, pos = (t.column(k).to_numpy() for k in ("key", "doc_id", "pos"))
-            at, left, right = extend(key, _sides(t.column("after")), _sides(t.column("before")))
-            fresh = (doc[at] != doc[at + 1]) | (pos[at] != pos[at + 1])
-            at, left, right = at[fresh], left[fresh], right[fresh]
-            both = np.concatenate((at, at + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(key[both]), pa.array(doc[both]), pa.array(pos[both]), pa.array(np.tile(left, 2)), pa.array(np.tile(right, 2))], ["key", "doc_id", "pos", "left", "right"])
+        held, done, first = None, 0, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            parts = [x for x in (held, batch) if x is not None]
+            if not parts:
+                return
+            t = pa.Table.from_batches(parts)
+            n = t.num_rows
+            until = n if batch is None else max(done, n - reach)  # rows from done to until have all their neighbours here
+            if until > done:
+                key, doc, pos = (t.column(k).to_numpy() for k in ("key", "doc_id", "pos"))
+                after, before = _sides(t.column("after")), _sides(t.column("before"))
+                first = key[0] if first is None else first
+                codes, seen = [], np.zeros(n, np.int64)
+                for far in range(1, min(NEAR, n - 1) + 1):
+                    at, left, right = extend(key, after, before, far)
+                    proved = (1 << left + 1) - (1 << SIDE - right)  # a bit for each passage, by the words on the left
+                    for x in (at, at + far):
+                        np.bitwise_or.at(seen, x, proved)
+                        mine = (x >= done) & (x < until)
+                        codes.append(x[mine] << 8 | left[mine] << 4 | right[mine])
+                code = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+                if len(code):
+                    x = code >> 8
+                    yield out(0, key[x], doc[x], pos[x], code >> 4 & 15, code & 15, np.zeros(len(x)))
+                deep = key == first
+                if batch is None:
+                    deep |= key == key[-1]
+                if n > reach:
+                    far = np.flatnonzero(key[reach:] == key[:-reach])
+                    for k in range(reach + 1):
+                        deep[far + k] = True
+                x = done + np.flatnonzero(deep[done:until])
+                if len(x):
+                    h, there = windows(key[x], after[x], before[x])
+                    value, count = np.unique(h[there], return_counts=True)
+                    zero = np.zeros(len(value))
+                    yield out(1, zero, zero, np.minimum(count, 2), zero, zero, value.view(np.int64))
+                    row, left = np.nonzero(there & ~(seen[x][:, None] >> np.arange(SIDE + 1) & 1).astype(bool))
+                    if len(row):
+                        yield out(2, key[x[row]], doc[x[row]], pos[x[row]], left, SIDE - left, h[row, left].view(np.int64))
+            if batch is None:
+                return
+            begin = max(0, until - reach)
+            held, done = t.slice(begin).combine_chunks().to_batches()[0], until - begin
+
+    ordered = rows.repartitionByRange("key", "after", "doc_id", "pos").sortWithinPartitions("key", "after", "doc_id", "pos")
+    return ordered.mapInArrow(task, FOUND)
+
 
-    return edges.coalesce(1).sortWithinPartitions("part", "side").mapInArrow(task, "key long, doc_id long, pos long, left long, right long")
+def far_copies(found: DataFrame) -> DataFrame:
+    """Matches of listed passages with suffixes that are no neighbours: by counts of the passages' hashes."""
+    repeated = found.filter("kind = 1").groupBy("window").agg(F.sum("pos").alias("n")).filter("n > 1").select("window")
+    return found.filter("kind = 2").join(repeated, "window", "left_semi")
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -231,8 +270,8 @@ def repeated_spans(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     rows = ws.table("suffixes", suffix_rows(docs, table))
     found = ws.table("found", neighbours(rows))
     ws.drop("suffixes")
-    matches = found.filter("side IS NULL").select("key", "doc_id", "pos", "left", "right").unionByName(across(found.filter("side IS NOT NULL")))
-    matches = ws.table("matches", matches)
+    cols = ("key", "doc_id", "pos", "left", "right")
+    matches = ws.table("matches", found.filter("kind = 0").select(*cols).unionByName(far_copies(found).select(*cols)))
     ws.drop("found")
     heads = ws.table("heads", matches.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("head")))
     later = (F.col("head.doc_id") != F.col("doc_id")) | (F.col("head.pos") != F.col("pos"))

@@ -149,6 +149,22 @@ def test_spans_against_brute_force(spark):
     assert suffix.repeated_spans(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("batch", [7, 1000])
+def test_spans_between_far_suffixes(spark, batch):
+    """Copies on the left of a common core, between which any number of others is sorted."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choices("abcdefg", k=4)) for _ in range(n)]
+    core, left, right = words(49), [words(25) for _ in range(9)], [words(25) for _ in range(4)]
+    rows = [(i, " ".join([*words(3), *left[i % 9], *core, *(words(30) if i % 3 else right[i % 4]), *words(2)])) for i in range(90)]
+    rows += [(200 + i, " ".join([*words(30), *core, *words(30)])) for i in range(60)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    got = suffix.repeated_spans(docs(spark, rows)).collect()
+    spark.conf.set(key, before)
+    assert {(r["doc_id"], r["first_word"], r["n_words"]) for r in got if not r["later"]} == plain_spans(rows)
+
+
 def test_removal_keeps_first_copy(spark):
     rng = random.Random(7)
     p = " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(90))
