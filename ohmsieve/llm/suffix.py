@@ -14,7 +14,9 @@ The array is sorted by ranges of (suffix, document, position), so a passage
 with very many copies is spread over tasks.  A suffix is compared with NEAR
 neighbours on either side; what they leave open in long runs of equal first
 words and at the ends of a range is settled by counts of passage hashes, so no
-repeated passage is missed however many suffixes lie between its copies.
+repeated passage is missed however many suffixes lie between its copies.  Which
+copy is the first is decided for each passage of MIN_WORDS words: by the order
+of the two in a match of neighbours, by the first place of the hash elsewhere.
 
 Defined cases: a null or empty text, or one of fewer words, has no span;
 repeats inside one document count as repeats; rows that share a ``doc_id``
@@ -167,8 +169,9 @@ def windows(key: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.
     return tv.mix(h), there(before) & there(after)[:, ::-1]
 
 
-#: kind 0: a match; 1: a passage (``window``) and how many suffixes of a batch have it (``pos``); 2: a suffix's passage that no neighbour has.
-FOUND = "kind int, key long, doc_id long, pos long, left long, right long, window long"
+#: Words ``a`` to ``b`` of a document.  kind 0: a match, ``n`` is 1 if it is with an earlier place; 1: a passage (``window``), how many
+#: suffixes of a batch have it (``n``) and the first place; 2: a suffix's passage that no neighbour has at an earlier place.
+FOUND = "kind int, doc_id long, a long, b long, n long, window long"
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -177,7 +180,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     Suffixes with the same first words are all compared with each other where
     they are at most NEAR + 1 and lie in one range.  Of longer runs, and of
     those at the ends of a range, all passages are counted by hash, once a batch,
-    and those of which no neighbour has shown a copy are listed.
+    and those of which no neighbour has shown an earlier copy are listed.
     """
     names, reach = [f.split()[0] for f in FOUND.split(", ")], NEAR + 1
 
@@ -199,18 +202,20 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 key, doc, pos = (t.column(k).to_numpy() for k in ("key", "doc_id", "pos"))
                 after, before = _sides(t.column("after")), _sides(t.column("before"))
                 first = key[0] if first is None else first
-                codes, seen = [], np.zeros(n, np.int64)
+                codes, before_it = [], np.zeros(n, np.int64)
                 for far in range(1, min(NEAR, n - 1) + 1):
                     at, left, right = extend(key, after, before, far)
                     proved = (1 << left + 1) - (1 << SIDE - right)  # a bit for each passage, by the words on the left
-                    for x in (at, at + far):
-                        np.bitwise_or.at(seen, x, proved)
+                    for x, y in ((at, at + far), (at + far, at)):
+                        later = (doc[x] > doc[y]) | (doc[x] == doc[y]) & (pos[x] > pos[y])
+                        np.bitwise_or.at(before_it, x, np.where(later, proved, 0))
                         mine = (x >= done) & (x < until)
-                        codes.append(x[mine] << 8 | left[mine] << 4 | right[mine])
+                        codes.append((x << 9 | left << 5 | right << 1 | later)[mine])
                 code = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+                code = code[np.append(code[1:] >> 1 != code[:-1] >> 1, True)] if len(code) else code  # the later of two that differ in that alone
                 if len(code):
-                    x = code >> 8
-                    yield out(0, key[x], doc[x], pos[x], code >> 4 & 15, code & 15, np.zeros(len(x)))
+                    x = code >> 9
+                    yield out(0, doc[x], pos[x] - (code >> 5 & 15), pos[x] + GRAM + (code >> 1 & 15), code & 1, np.zeros(len(x)))
                 deep = key == first
                 if batch is None:
                     deep |= key == key[-1]
@@ -220,13 +225,16 @@ def neighbours(rows: DataFrame) -> DataFrame:
                         deep[far + k] = True
                 x = done + np.flatnonzero(deep[done:until])
                 if len(x):
+                    x = x[np.lexsort((pos[x], doc[x]))]
                     h, there = windows(key[x], after[x], before[x])
-                    value, count = np.unique(h[there], return_counts=True)
-                    zero = np.zeros(len(value))
-                    yield out(1, zero, zero, np.minimum(count, 2), zero, zero, value.view(np.int64))
-                    row, left = np.nonzero(there & ~(seen[x][:, None] >> np.arange(SIDE + 1) & 1).astype(bool))
+                    row, left = np.nonzero(there)  # rows in order, so the first of a hash is its first place
+                    value, head, count = np.unique(h[there], return_index=True, return_counts=True)
+                    a = pos[x[row[head]]] - left[head]
+                    yield out(1, doc[x[row[head]]], a, a + MIN_WORDS, np.minimum(count, 2), value.view(np.int64))
+                    row, left = np.nonzero(there & ~(before_it[x][:, None] >> np.arange(SIDE + 1) & 1).astype(bool))
                     if len(row):
-                        yield out(2, key[x[row]], doc[x[row]], pos[x[row]], left, SIDE - left, h[row, left].view(np.int64))
+                        a = pos[x[row]] - left
+                        yield out(2, doc[x[row]], a, a + MIN_WORDS, np.zeros(len(row)), h[row, left].view(np.int64))
             if batch is None:
                 return
             begin = max(0, until - reach)
@@ -237,9 +245,10 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def far_copies(found: DataFrame) -> DataFrame:
-    """Matches of listed passages with suffixes that are no neighbours: by counts of the passages' hashes."""
-    repeated = found.filter("kind = 1").groupBy("window").agg(F.sum("pos").alias("n")).filter("n > 1").select("window")
-    return found.filter("kind = 2").join(repeated, "window", "left_semi")
+    """Matches of listed passages with suffixes that are no neighbours: by counts and first places of the passages' hashes."""
+    heads = found.filter("kind = 1").groupBy("window").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "a")).alias("head")).filter("copies > 1")
+    later = F.struct("doc_id", "a") > F.col("head")
+    return found.filter("kind = 2").join(heads, "window").select("doc_id", "a", "b", later.alias("later"))
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -257,8 +266,8 @@ def repeated_spans(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, first_word, n_words, later): the repeated spans of each document in words.
 
     Rows with ``later`` false are the spans that repeat anything; those with
-    ``later`` true are the parts of them that some suffix, in order of
-    (doc_id, position), has begun before: what a deduplication removes.
+    ``later`` true are the passages of MIN_WORDS words that, in order of
+    (doc_id, position), have begun before: what a deduplication removes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -270,12 +279,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     rows = ws.table("suffixes", suffix_rows(docs, table))
     found = ws.table("found", neighbours(rows))
     ws.drop("suffixes")
-    cols = ("key", "doc_id", "pos", "left", "right")
-    matches = ws.table("matches", found.filter("kind = 0").select(*cols).unionByName(far_copies(found).select(*cols)))
-    ws.drop("found")
-    heads = ws.table("heads", matches.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("head")))
-    later = (F.col("head.doc_id") != F.col("doc_id")) | (F.col("head.pos") != F.col("pos"))
-    placed = matches.join(heads, "key").select("doc_id", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + GRAM + F.col("right")).alias("b"), later.alias("later")).distinct()
+    placed = found.filter("kind = 0").select("doc_id", "a", "b", (F.col("n") == 1).alias("later")).unionByName(far_copies(found)).distinct()
 
     def join(t: pa.Table) -> pa.Table:
         a, b, late = (t.column(k).to_numpy() for k in ("a", "b", "later"))

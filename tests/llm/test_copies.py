@@ -165,6 +165,55 @@ def test_spans_between_far_suffixes(spark, batch):
     assert {(r["doc_id"], r["first_word"], r["n_words"]) for r in got if not r["later"]} == plain_spans(rows)
 
 
+def plain_later(rows):
+    """Words of the 50-word passages that began before, by document."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - 49):
+            g = tuple(w[k : k + 50])
+            if g in seen:
+                out.setdefault(i, set()).update(range(k, k + 50))
+            seen.add(g)
+    return out
+
+
+@pytest.mark.parametrize(("gram", "batch"), [("nested", 1000), ("far", 1000), ("far", 7), ("many", 1000), ("period", 1000)])
+def test_later_against_brute_force(spark, gram, batch):
+    """Which copy is the first is decided for each passage of 50 words, not for the words that a suffix begins with."""
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdefg", k=4)) for _ in range(n)]
+    if gram == "nested":
+        a, b, c = words(100), words(100), words(70)
+        rows = [(1, a), (2, b + a), (3, b + a), (4, c + c + c), (5, words(9) + b + a + c), (6, words(60))]
+    elif gram == "many":
+        rows = [(i, t.split()) for i, t in passages(3)]
+    elif gram == "period":
+        c = words(30)
+        rows = [(1, words(5) + c * 4), (2, c * 2 + words(8)), (3, ["x", "y"] * 60)]
+    else:
+        core, left, right = words(49), [words(25) for _ in range(9)], [words(25) for _ in range(4)]
+        rows = [(i, [*words(3), *left[i % 9], *core, *(words(30) if i % 3 else right[i % 4]), *words(2)]) for i in range(90)]
+        rows += [(200 + i, [*words(30), *core, *words(30)]) for i in range(60)]
+        rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in rows]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    d = docs(spark, rows)
+    spans = suffix.repeated_spans(d).collect()
+    kept = {r["doc_id"]: r["text"].split() for r in suffix.without_repeats(d, suffix.repeated_spans(d)).collect()}
+    spark.conf.set(key, before)
+    assert {(r["doc_id"], r["first_word"], r["n_words"]) for r in spans if not r["later"]} == plain_spans(rows)
+    got = {}
+    for r in spans:
+        if r["later"]:
+            got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert got == plain_later(rows)
+    if gram == "nested":
+        assert kept[1] == a and kept[2] == b and 3 not in kept and kept[4] == c and len(kept[5]) == 9
+
+
 def test_removal_keeps_first_copy(spark):
     rng = random.Random(7)
     p = " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(90))
