@@ -1,9 +1,12 @@
 """Byte-level BPE encoding of whole text batches with the ``tokenizers`` library.
 
 The pre-tokeniser never lets a token cross from a visible character to white
-space, so a text may be cut there and its pieces encoded apart.  Pieces repeat,
-so each worker encodes a piece once and keeps its ids in a bounded cache; the
-ids of a text are those the library gives for it as a whole.
+space, nor from an ASCII letter to most ASCII punctuation, so a text may be cut
+there and its pieces encoded apart.  Pieces repeat, so each worker encodes a
+piece once and keeps its ids in a bounded cache; the ids of a text are those the
+library gives for it as a whole.  New pieces go to the library many at a time,
+joined where it would cut them anyway: each id stands for a known number of
+bytes, which tells where a piece's ids end.
 """
 
 from __future__ import annotations
@@ -19,6 +22,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; beyond it the cache starts anew.
 CACHE_PIECES = 1_500_000
+#: Characters of joined pieces that the library encodes as one text.
+JOINED = 4096
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Not the apostrophe, with which contractions begin, nor the bar inside the vocabulary's special token.
+_MARK[list(b'!"#$%&()*+,-./:;<=>?@[]^_`{}~')] = True
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
@@ -36,6 +45,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # a character of the vocabulary file is a byte
+            self.width[i] = len(token)
+        for i, token in self.tok.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
         self.clear()
 
     def clear(self) -> None:
@@ -46,7 +61,7 @@ class PieceEncoder:
         self.used = 0
 
     def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Where a piece begins: at a document's start and at white space after a visible character."""
+        """Where a piece begins: at a document's start, at white space after a visible character, at punctuation after a letter."""
         space = tv.SEP[data]
         cut = np.zeros(len(data), bool)
         if len(data) > 1:
@@ -57,16 +72,33 @@ class PieceEncoder:
                 two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
                 bad = (two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3))
                 cut[at[bad]] = False
+            cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
         cut[offs[:-1][offs[:-1] < offs[1:]]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some byte ranges one after the other, and how many each has."""
+        # a piece that begins with white space and ends in a visible ASCII character may stand between others of its kind
+        joins = tv.SEP[data[starts]] & (data[ends - 1] > 0x20) & (data[ends - 1] < 0x7F)
+        order = np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins)))
+        n, size = int(joins.sum()), (ends - starts)[order]
+        flat = data[tv.ragged(starts[order], size)].tobytes()
+        stop = np.cumsum(size)
+        last = np.searchsorted(stop, np.arange(JOINED, int(stop[n - 1]) + JOINED, JOINED)) if n else np.empty(0, np.int64)
+        cut = np.unique(np.concatenate(([0], stop[np.minimum(last, n - 1)] if n else [], stop[n:]))).astype(np.int64).tolist()
+        texts = [flat[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+        count = np.diff(np.searchsorted(np.cumsum(self.width[ids]), stop, "right"), prepend=0)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        at = np.cumsum(count) - count
+        return ids[tv.ragged(at[back], count[back])], count[back]
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if len(self.keys) + len(keys) > CACHE_PIECES:
             self.clear()
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        flat, size = self._ids(data, starts, ends)
+        total = len(flat)
         if self.used + total > len(self.flat):
             grown = np.empty(max(2 * len(self.flat), self.used + total), np.uint32)
             grown[: self.used] = self.flat[: self.used]
@@ -95,9 +127,7 @@ class PieceEncoder:
             some = np.empty(len(keys), np.int64)
             some[inverse] = np.arange(len(starts))
             new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            s, e = starts[some[new]].tolist(), ends[some[new]].tolist()
-            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            self._learn(keys[new], data, starts[some[new]], ends[some[new]])
             at = np.searchsorted(self.keys, keys)
         slot = at[inverse]
         size = self.size[slot]

@@ -56,10 +56,10 @@ def encode_shard(doc_ids: list[int | None], ptr: np.ndarray, ids: np.ndarray) ->
     for level in range(bits - 1, -1, -1):
         mask = (a & a.dtype.type(1 << level)) != 0
         packed = np.packbits(mask, bitorder="little").tobytes()
-        low = a[~mask]
+        low = a.compress(~mask)  # much faster than a[~mask] where the bits are mixed
         zeros.append(len(low))
         if level:
-            a = np.concatenate((low, a[mask]))
+            a = np.concatenate((low, a.compress(mask)))
         total = 0
         for at in range(0, len(packed), BLOCK):
             raw = packed[at : at + BLOCK]
@@ -183,8 +183,8 @@ class WaveletShard:
             out[z:] |= out.dtype.type(1 << (self.bits - 1 - level))
             if z and z < self.n:
                 up = np.empty_like(out)
-                up[~mask] = out[:z]
-                up[mask] = out[z:]
+                up[np.flatnonzero(~mask)] = out[:z]
+                up[np.flatnonzero(mask)] = out[z:]
                 out = up
         return self.alphabet[out]
 
