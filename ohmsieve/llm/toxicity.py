@@ -1,26 +1,31 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are learned: one from toxic text, one from
-ordinary text.  The toxic one holds the words that toxic documents have far
-more often than ordinary ones, most frequent last; the ordinary one holds
-ordinary words in their place; both end with the most frequent words of all
-text, so that common language is short under either.  Every window of three
-words is compressed with both, behind a fixed run of spaces so that its block
-is always a compressed one.  A document's profile counts the windows that the
-toxic dictionary makes shorter by at least so many bytes; a logistic curve
-fitted on labelled documents that no dictionary has seen turns it into a
-probability, with 0.5 as the threshold.
+Two zstandard dictionaries are trained: one on toxic text, one on ordinary
+text.  The ordinary one is what the library's own trainer makes of ordinary
+documents.  The toxic one ends in the same passages, so that common language
+is short under either; before them it has passages of toxic documents, chosen
+as the trainer chooses them (greedily, by the worth of the byte runs in a
+passage that no chosen passage has), but with the worth of a run being how far
+its share of toxic documents exceeds its share of ordinary ones, in standard
+errors.
+
+Every window of a few words is compressed with both, behind a fixed run of
+spaces so that its block is always a compressed one.  A document's profile
+counts the windows that the toxic dictionary makes shorter by at least so many
+bytes; a logistic curve fitted on labelled documents that no dictionary has
+seen turns it into a probability, with 0.5 as the threshold.
 
 Defined cases: a null or empty text has no window and gets the score of an
 empty profile; without examples of both classes every score is the share of
-toxic labels (0 without labels); rows with equal texts get equal scores; an
-empty table gives no row; other columns are ignored.
+toxic labels (0 without labels); rows with equal texts get equal scores; a
+column that has the score's name is replaced by it; an empty table gives no
+row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,21 +33,24 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
 from .sample import labelled_texts, logistic, natural, slices
 from .store import read, small_batches
 
-WINDOW_WORDS = 3
+WINDOW_WORDS = 4
 #: Labelled documents of each class that may be used for fitting, and the bytes of the longest.
 TRAIN_DOCS, TRAIN_BYTES = 2500, 32768
-#: Bytes of the part that differs between the dictionaries and of the part they share.
-OWN_BYTES, SHARED_BYTES = 1024, 400
-#: Standard errors by which a word's share of toxic documents must exceed its share of ordinary ones.
-LIFT = 5.0
-SAVED = (2, 3, 4, 5, 6)
+#: Bytes of a run, of a passage, and of the passages that both dictionaries end in.
+RUN, PASSAGE, SHARED_BYTES = 6, 12, 8192
+#: Standard errors by which a run's share of toxic documents must exceed its share of ordinary ones.
+MARKED = 6.0
+#: zstandard's own default size of a dictionary.
+DICT_BYTES = 112_640
+SAVED = (2, 3, 4, 5, 6, 8)
 LEAD = b" " * 48
-EDGE = b".,!?;:\"'()*$%&#|<>"
+U = np.uint64
 
 
 @dataclass
@@ -65,7 +73,7 @@ class CompressionModel:
     def profiles(self, data: np.ndarray, offs: np.ndarray, compressors) -> np.ndarray:
         """A row of features for each document."""
         docs = len(offs) - 1
-        low = tv.LOWER[data]
+        low = plain(data)
         starts, ends, ptr = tv.words(low, offs)
         per = -(-np.diff(ptr) // WINDOW_WORDS)
         doc = np.repeat(np.arange(docs), per)
@@ -86,12 +94,15 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(self.profiles(data, offs, compressors) @ self.weights, -30, 30)))
 
 
-def bare_words(text: bytes) -> list[bytes]:
-    return [w for w in (x.strip(EDGE) for x in text.lower().split()) if w]
+def plain(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, every separator a space."""
+    low = tv.LOWER[data]
+    low[tv.SEP[low]] = 0x20
+    return low
 
 
 def apart(texts: list[bytes], edge: int = 64) -> list[bool]:
-    """Whether a text neither begins nor ends like an earlier one: near copies would make each other's words look marked."""
+    """Whether a text neither begins nor ends like an earlier one: near copies would make each other's runs look marked."""
     seen: set[bytes] = set()
     out = []
     for t in texts:
@@ -101,6 +112,90 @@ def apart(texts: list[bytes], edge: int = 64) -> list[bool]:
     return out
 
 
+def runs_of(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of RUN bytes as a number, and where those begin that lie in one text."""
+    n = len(low) - RUN + 1
+    if n <= 0:
+        return np.empty(0, U), np.empty(0, np.int64)
+    v = np.zeros(n, U)
+    for j in range(RUN):
+        v |= low[j : j + n].astype(U) << U(8 * j)
+    doc = tv.owner(offs)
+    return v, np.flatnonzero(doc[:n] == doc[RUN - 1 :])
+
+
+def text_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs in ascending order and how many of the texts have each."""
+    value, count = np.empty(0, U), np.empty(0, np.int64)
+    for data, offs in slices(texts):
+        v, at = runs_of(plain(data), offs)
+        doc = tv.owner(offs)[at].astype(U)  # a slice has fewer than 2 ** 16 texts that hold a run
+        each = np.unique(doc << U(8 * RUN) | v[at]) & U((1 << 8 * RUN) - 1)
+        a, c = np.unique(each, return_counts=True)
+        value, count = np.concatenate((value, a)), np.concatenate((count, c))
+        order = np.argsort(value, kind="stable")
+        value, count = value[order], count[order]
+        start = np.flatnonzero(np.concatenate((np.ones(min(1, len(value)), bool), value[1:] != value[:-1])))
+        value, count = value[start], np.add.reduceat(count, start) if len(start) else count
+    return value, count
+
+
+def marked_runs(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, float]:
+    """Runs that toxic texts have significantly more often, and by how many standard errors."""
+    (v, a), (w, c) = text_counts(toxic), text_counts(ordinary)
+    at = np.minimum(np.searchsorted(w, v), max(0, len(w) - 1))
+    b = np.where(w[at] == v, c[at], 0) if len(w) else np.zeros(len(v))
+    n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
+    p = (a + b) / (n1 + n0)
+    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    keep = (z >= MARKED) & (a > 2)
+    return dict(zip(v[keep].tolist(), z[keep].tolist(), strict=True))
+
+
+def passages(texts: list[bytes], worth: dict[int, float], size: int) -> bytes:
+    """Passages that cover the runs of worth, the best at the end; each run counts for the first passage that has it only."""
+    keys = np.sort(np.fromiter(worth, U, len(worth)))
+    found: dict[bytes, None] = {}
+    for data, offs in slices(texts):
+        low = plain(data)
+        v, at = runs_of(low, offs)
+        near = np.minimum(np.searchsorted(keys, v[at]), max(0, len(keys) - 1))
+        at = at[keys[near] == v[at]] if len(keys) else at[:0]
+        doc, raw = np.searchsorted(offs, at, "right") - 1, low.tobytes()
+        lo = np.maximum(at - (PASSAGE - RUN) // 2, offs[doc])
+        hi = np.minimum(lo + PASSAGE, offs[doc + 1])
+        found.update(dict.fromkeys(raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)))
+    inside = {p: {int.from_bytes(p[i : i + RUN], "little") for i in range(len(p) - RUN + 1)} for p in found}
+    left = dict(worth)
+    value = lambda p: sum(left.get(x, 0.0) for x in inside[p])
+    heap = [(-value(p), p) for p in found]
+    heapq.heapify(heap)
+    out, used = [], 0
+    while heap and used < size:
+        _, p = heapq.heappop(heap)
+        now = value(p)
+        if heap and -heap[0][0] > now > 0:
+            heapq.heappush(heap, (-now, p))
+        elif now > 0:
+            out.append(p)
+            used += len(p)
+            for x in inside[p]:
+                left.pop(x, None)
+    return b"".join(reversed(out))[-size:]
+
+
+def trained(texts: list[bytes], size: int) -> bytes:
+    """What zstandard's trainer makes of some texts; where they are too few for it, the texts themselves."""
+    samples = [plain(np.frombuffer(t, np.uint8)).tobytes() for t in texts if len(t) >= 8]
+    try:
+        content = zstandard.train_dictionary(max(1024, size), samples, k=64, d=6).as_bytes()
+    except zstandard.ZstdError:
+        content = b" ".join(samples)
+    while samples and len(content) < size:
+        content += content or b" "
+    return content[-size:]
+
+
 def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = None) -> CompressionModel:
     """Dictionaries from seven tenths of the examples, the curve from the rest, with classes weighted as in ``totals``."""
     y = np.array(labels, float)
@@ -112,28 +207,12 @@ def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = N
             learn = np.arange(len(y)) >= 0
             break
     fresh = apart(texts)
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for t, v, k, f in zip(texts, labels, learn, fresh, strict=True):
-        if k and f:
-            seen[v].update(set(bare_words(t)))
-    n = {c: max(1, int((y[learn & np.array(fresh)] == c).sum())) for c in (0, 1)}
-
-    def lift(w: bytes) -> float:
-        a, b = seen[1].get(w, 0), seen[0].get(w, 0)
-        p = (a + b) / (n[0] + n[1])
-        return (a / n[1] - b / n[0]) / max(1e-9, (p * (1 - p) * (1 / n[0] + 1 / n[1])) ** 0.5)
-
-    by_count = lambda c: sorted(c.items(), key=lambda x: (-x[1], x[0]))
-    marked = [w for w, k in by_count(seen[1]) if k > 1 and lift(w) >= LIFT]
-    plain = [w for w, _ in by_count(seen[0]) if lift(w) < 2]
-    if not marked or not plain:
+    toxic, ordinary = ([t for t, v, k, f in zip(texts, labels, learn, fresh, strict=True) if k and f and v == c] for c in (1, 0))
+    own = passages(toxic, marked_runs(toxic, ordinary), DICT_BYTES - SHARED_BYTES)
+    common = trained(ordinary, len(own) + SHARED_BYTES)
+    if not own or len(common) < len(own):
         return CompressionModel(prior=float(y.mean()))
-    join = lambda ws: b"".join(b" %b " % w for w in ws)
-    own = join(reversed(marked))[-OWN_BYTES:]
-    shared = join(reversed(plain[:100]))[-SHARED_BYTES:]
-    rare = join(plain[len(plain) // 4 :] or plain)
-    filler = (rare * (len(own) // max(1, len(rare)) + 1))[: len(own)]
-    model = CompressionModel(own + shared, filler + shared, prior=float(y.mean()))
+    model = CompressionModel(own + common[len(own) :], common, prior=float(y.mean()))
     held = ~learn if (~learn).any() else learn
     side = [t for t, k in zip(texts, held, strict=True) if k]
     pair = model.compressors()
@@ -148,19 +227,19 @@ def learn_model(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     return fit(*labelled_texts(docs, labels, "toxic", keep, TRAIN_DOCS, TRAIN_BYTES))
 
 
-def score_column(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """All columns of ``docs`` and ``toxic_score``."""
+def score_column(docs: DataFrame, model: CompressionModel, name: str = "toxic_score") -> DataFrame:
+    """All columns of ``docs`` and the score as the column ``name``."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(name)
     at = docs.columns.index("text")
 
     def task(batches):
         pair = model.compressors() if model.toxic else None
         for batch in batches:
             scores = [model.score(data, offs, pair) for _, _, data, offs in tv.text_slices(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], [*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(task, f"{fields}, toxic_score double")
+    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op8_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
