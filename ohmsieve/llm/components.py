@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 
-def connected(ws: Workspace, name: str, edges: DataFrame) -> DataFrame:
+def connected(ws: Workspace, name: str, edges: DataFrame, rounds: int = 99) -> DataFrame:
     """(id, component) for every id of ``edges`` (a, b): the smallest id that it reaches.
 
     Each round makes every node point to the smallest neighbour it has seen;
     the rounds grow with the logarithm of the longest path.  Minima are
     written before they are joined, so a node with very many edges is a skewed
-    side of a plain join, which Spark splits.
+    side of a plain join, which Spark splits.  Edges that have not settled after
+    ``rounds`` raise an error; no graph of fewer than 2 ** 60 edges needs so many.
     """
     last = None
     now = ws.table(f"{name}-0", edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for i in range(1, 100):
+    for i in range(1, rounds + 1):
         least = ws.table(f"{name}-m{i}", now.groupBy("u").agg(F.min("v").alias("m")))
         met = now.join(least, "u")
         # each smaller neighbour, and the node itself, points to the smallest neighbour
@@ -35,4 +36,6 @@ def connected(ws: Workspace, name: str, edges: DataFrame) -> DataFrame:
         if sign == last:
             break
         last = sign
+    else:
+        raise RuntimeError(f"components of {name} have not settled after {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

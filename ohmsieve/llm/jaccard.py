@@ -10,14 +10,22 @@ list length.
 Before that, two exact reductions keep the work near the copies.  Equal sets
 are one class.  A set can only have a partner if three quarters of its
 shingles occur in another row, so shingle hashes are first counted in packed
-blocks and only sets that pass go on.  Lists yield stars, never all pairs;
-rows whose lists meet are compared in blocks of bounded size, and what leaves
-a block is a spanning forest of its links.
+blocks and only sets that pass go on.  Lists yield stars, never all pairs, and
+of what a batch of sets adds to a list only its first row leaves the batch.
+
+Rows whose lists meet are a group.  A small group is compared in one task.  The
+rows of a large one are compared with a few pivots, part by part; as the
+Jaccard distance obeys the triangle inequality, a row that is linked to a pivot
+can only be linked to rows within twice the distance of that pivot, so only
+rows near a pivot that are not yet connected to it go on to the rows it covers,
+and rows that no pivot covers to each other.  What leaves a task is a spanning
+forest of its links.
 
 Defined cases: a null or empty text, or one without words, has no shingles
-and no links; rows that share a ``doc_id`` are one node; a null ``doc_id``
-has no links and a null component; an empty table gives no row; other columns
-are ignored.
+and no links; rows that share a ``doc_id`` are one node, which is linked with
+whatever one of them is linked with; a null ``doc_id`` has no links and a null
+component; equal rows are returned each; an empty table gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -38,13 +46,15 @@ WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Text bytes for each block of shingle hashes.
-BLOCK_BYTES = 24 << 20
-#: Bits of the filter of rows that go on, and cells of the table of frequency levels: both sizes are fixed.
-FILTER_BITS, LEVEL_BITS = 24, 22
+BLOCK_BYTES = 12 << 20
+#: Least and most bits (as powers of 2) of the filter of rows that go on: at most 64 MB.  Beyond, rows meet their ids in a join.
+FILTER_BITS = (24, 29)
+#: Least and most cells (as powers of 2, a byte each) of the table of frequency levels.
+LEVEL_BITS = (22, 26)
 #: Rows and bytes of sets that are compared at once.
 GROUP_ROWS, GROUP_BYTES = 128, 4 << 20
-#: No set larger than this is light, whatever the costs.
-MOST_LIGHT = 12
+#: Sets of more shingles have over 10 ** 9 subsets each, which never costs less than scanning: their sizes are not counted.
+LIGHT_SIZES = 36
 #: Stands for a null doc_id inside packed blocks.
 NO_ID = -(1 << 63)
 U = np.uint64
@@ -181,32 +191,39 @@ def shared_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(reduce, "doc_id long, shared long, n long, sign_a long, sign_b long")
 
 
-def id_place() -> Column:
+def id_place(bits: int) -> Column:
     """A document's place in :func:`id_filter`, from 1."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has every id; others may be in it too."""
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap that has every id; others may be in it too."""
     p = F.col("p")
-    rows = ids.select(id_place().alias("p")).groupBy(F.bitmap_bucket_number(p).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("m"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for k, m in rows.collect():  # 2 ** FILTER_BITS / 32768 rows of 4096 bytes at most
+    rows = ids.select(id_place(bits).alias("p")).groupBy(F.bitmap_bucket_number(p).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("m"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for k, m in rows.toLocalIterator():  # 2 ** bits / 32768 rows of 4096 bytes at most
         out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(m), np.uint8)
     return out
 
 
-def chosen_sets(docs: DataFrame, mask: np.ndarray) -> DataFrame:
-    """(doc_id, n, sset) of the documents that the bitmap lets pass."""
+def chosen_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """(doc_id, n, sset) of the documents whose id is among ``ids``, by a bitmap (which may let others pass) or else a join."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(mask)
+    bits = max(FILTER_BITS[0], (8 * n_ids).bit_length())
+    joined = bits > FILTER_BITS[1]
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", (F.lit(0) if joined else id_place(bits)).alias("p"))
+    if joined:
+        rows, shared = rows.join(ids, "doc_id", "left_semi"), None
+    else:
+        shared = spark.sparkContext.broadcast(id_filter(ids, bits))
 
     def task(batches):
-        bits = shared.value
+        mask = shared.value if shared else None
         for batch in batches:
-            at = batch.column(2).to_numpy() - 1
-            keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            batch = batch.take(pa.array(keep))
+            if mask is not None:
+                at = batch.column(2).to_numpy() - 1
+                keep = np.flatnonzero(mask[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                batch = batch.take(pa.array(keep))
             ids = batch.column(0)
             for lo, rows, data, offs in tv.text_slices(batch, "text"):
                 v, ptr = shingle_sets(data, offs)
@@ -214,12 +231,11 @@ def chosen_sets(docs: DataFrame, mask: np.ndarray) -> DataFrame:
                 blobs = [raw[a:b] for a, b in zip(p[:-1], p[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, rows), pa.array(np.diff(ptr)), pa.array(blobs, pa.binary())], ["doc_id", "n", "sset"])
 
-    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", id_place().alias("p"))
     return rows.mapInArrow(task, "doc_id long, n long, sset binary").filter("n > 0")
 
 
-def frequency_levels(sets: DataFrame, buckets: int) -> np.ndarray:
-    """For each cell of the hash range the largest level of its shingles: 0 if each is in one set, i if one is in up to 2**i."""
+def frequency_levels(sets: DataFrame, buckets: int, size: int) -> np.ndarray:
+    """For each of 2**size cells of the hash range the largest level of its shingles: 0 if each is in one set, i if one is in up to 2**i."""
     bits = max(1, (buckets - 1).bit_length())
 
     def deal(batches):
@@ -231,7 +247,7 @@ def frequency_levels(sets: DataFrame, buckets: int) -> np.ndarray:
             spans = [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in spans], pa.int32()), pa.array([v[x:y].astype("<u8").tobytes() for _, x, y in spans], pa.binary()), pa.array([length[x:y].astype("<u4").tobytes() for _, x, y in spans], pa.binary())], ["bucket", "h", "c"])
 
-    width = 1 << (LEVEL_BITS - bits)
+    width = 1 << (size - bits)
 
     def reduce(table: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(table.column("h").to_pylist()), "<u8")
@@ -242,11 +258,11 @@ def frequency_levels(sets: DataFrame, buckets: int) -> np.ndarray:
         df = np.add.reduceat(c[order].astype(np.int64), start)
         level = np.ceil(np.log2(df)).astype(np.uint8)
         cells = np.zeros(width, np.uint8)
-        np.maximum.at(cells, (h[start] >> U(64 - LEVEL_BITS)).astype(np.int64) & (width - 1), level)
+        np.maximum.at(cells, (h[start] >> U(64 - size)).astype(np.int64) & (width - 1), level)
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "cells": [cells.tobytes()]})
 
-    out = np.zeros(1 << LEVEL_BITS, np.uint8)
-    for b, cells in sets.select("sset").mapInArrow(deal, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(reduce, "bucket int, cells binary").collect():  # 2 ** LEVEL_BITS bytes in all
+    out = np.zeros(1 << size, np.uint8)
+    for b, cells in sets.select("sset").mapInArrow(deal, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(reduce, "bucket int, cells binary").toLocalIterator():  # 2 ** size bytes in all
         out[b * width : (b + 1) * width] = np.frombuffer(bytes(cells), np.uint8)
     return out
 
@@ -257,18 +273,30 @@ def subsets_of(n: int, light: int) -> int:
 
 
 def boundary(sizes: dict[int, int], list_length: float) -> int:
-    """The largest light size: enumerating up to it and scanning from there costs least."""
+    """The largest light size: enumerating up to it and scanning from there costs least.  ``sizes``: how many sets have each size up to LIGHT_SIZES."""
     best, at = None, 0
-    for x in range(MOST_LIGHT + 1):
-        cost = sum(c * (subsets_of(n, x) if n <= x else (n // 4 + 1) * list_length) for n, c in sizes.items())
+    for x in range(LIGHT_SIZES + 1):
+        light = sum(c * subsets_of(n, x) for n, c in sizes.items() if n <= x)
+        cost = light + sum(c * (n // 4 + 1) * list_length for n, c in sizes.items() if n > x)
         if best is None or cost < best:
             best, at = cost, x
+        elif light > best:  # it only grows from here
+            break
     return at
 
 
+ENTRIES = "bucket int, keys binary, docs binary, n binary, proof binary, edges binary"
+
+
 def list_entries(sets: DataFrame, levels: np.ndarray, light: int, buckets: int) -> DataFrame:
-    """Blocks (bucket, keys, docs, n, proof): inverted-list entries of rare shingles, and subsets of light sets."""
+    """Blocks of inverted-list entries of rare shingles and of subsets of light sets, and edges (a, b, proven) that one batch shows.
+
+    Of the rows of a batch in one list only the first is an entry, the others
+    are edges to it; so a list that has a third of all rows still sends one
+    entry a batch.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(levels)
+    shift = U(64 - (len(levels) - 1).bit_length())
 
     def task(batches):
         table = shared.value
@@ -276,7 +304,7 @@ def list_entries(sets: DataFrame, levels: np.ndarray, light: int, buckets: int)
             ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             v = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").astype(U)
             doc = np.repeat(np.arange(len(n)), n)
-            level = table[(v >> U(64 - LEVEL_BITS)).astype(np.int64)]
+            level = table[(v >> shift).astype(np.int64)]
             order = np.lexsort((v, level, doc))
             v, level = v[order], level[order]
             nth = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
@@ -300,15 +328,37 @@ def list_entries(sets: DataFrame, levels: np.ndarray, light: int, buckets: int)
                 owner.append(np.full(len(own), i))
                 proof.append(np.array(kind, np.uint8))
             key, own, pr = np.concatenate(keys), np.concatenate(owner), np.concatenate(proof)
-            b = bucket_of(key, buckets)
+            doc = ids[own]
+            order = np.lexsort((doc, key, pr))
+            key, own, pr, doc = key[order], own[order], pr[order], doc[order]
+            start, length = runs(key ^ (pr.astype(U) << U(62)))
+            low = np.repeat(doc[start], length)
+            first = np.zeros(len(key), bool)
+            first[start] = True
+            # subsets of two sizes prove links between the sizes only, so all their rows are entries
+            again = ~first & (pr < 2)
+            edges = star_edges(doc[again], low[again], pr[again])
+            stay = ~again
+            key, own, pr, doc = key[stay], own[stay], pr[stay], doc[stay]
+            b = bucket_of(tv.mix(key), buckets)  # mixed, for the rarest shingles of like sets are the lowest
             order = np.argsort(b, kind="stable")
-            key, own, pr, b = key[order], own[order], pr[order], b[order]
+            key, own, pr, doc, b = key[order], own[order], pr[order], doc[order], b[order]
             at = np.searchsorted(b, np.arange(buckets + 1))
             spans = [(k, int(x), int(y)) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
-            pack = lambda a, kind: pa.array([a[x:y].astype(kind).tobytes() for _, x, y in spans], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int32()), pack(key, "<u8"), pack(ids[own], "<i8"), pack(n[own], "<i8"), pack(pr, "u1")], ["bucket", "keys", "docs", "n", "proof"])
+            pack = lambda a, kind: [a[x:y].astype(kind).tobytes() for _, x, y in spans]
+            cols = [[k for k, _, _ in spans], pack(key, "<u8"), pack(doc, "<i8"), pack(n[own], "<i8"), pack(pr, "u1"), [b""] * len(spans)]
+            if len(edges):
+                for c, x in zip(cols, (int(ids[0]) % buckets, b"", b"", b"", b"", edges.astype("<i8").tobytes()), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [x.split()[0] for x in ENTRIES.split(", ")])
+
+    return sets.select("doc_id", "n", "sset").mapInArrow(task, ENTRIES)
+
 
-    return sets.select("doc_id", "n", "sset").mapInArrow(task, "bucket int, keys binary, docs binary, n binary, proof binary")
+def star_edges(doc: np.ndarray, low: np.ndarray, proof: np.ndarray) -> np.ndarray:
+    """Distinct rows (row, first row of its list, whether that proves a link)."""
+    keep = low != doc
+    return np.unique(np.stack((doc[keep], low[keep], (proof[keep] > 0).astype(np.int64)), 1), axis=0) if keep.any() else np.empty((0, 3), np.int64)
 
 
 def stars(entries: DataFrame) -> DataFrame:
@@ -321,10 +371,10 @@ def stars(entries: DataFrame) -> DataFrame:
         key, doc, n, proof = key[order], doc[order], n[order], proof[order]
         start, length = runs(key ^ (proof.astype(U) << U(62)))
         low = np.repeat(doc[start], length)
-        # a subset of two sizes proves links between the sizes only: it tells nothing while one of them is missing
+        # a subset of two sizes tells nothing while one of them is missing
         mixed = np.repeat(np.minimum.reduceat(n, start) != np.maximum.reduceat(n, start), length) if len(n) else n > 0
-        keep = (low != doc) & ((proof != 2) | mixed)
-        edge = np.unique(np.stack((doc[keep], low[keep], (proof[keep] > 0).astype(np.int64)), 1), axis=0) if keep.any() else np.empty((0, 3), np.int64)
+        keep = (proof != 2) | mixed
+        edge = np.concatenate((star_edges(doc[keep], low[keep], proof[keep]), blob("edges", "<i8").reshape(-1, 3)))
         return pa.table({"a": edge[:, 0], "b": edge[:, 1], "proven": edge[:, 2].astype(bool)})
 
     return entries.groupBy("bucket").applyInArrow(reduce, "a long, b long, proven boolean")
@@ -363,21 +413,146 @@ def forest(ids: np.ndarray, sets: list[bytes], percent: int = PERCENT) -> list[t
     return out
 
 
+def near_counts(own: np.ndarray, cols: np.ndarray, ptr: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """How many of the values ``own`` each of some sets (none of them empty) has."""
+    mark[own] = True
+    both = np.add.reduceat(mark[cols], ptr[:-1], dtype=np.int64)
+    mark[own] = False
+    return both
+
+
+class Sets:
+    """Some sets with their values renumbered."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.n = np.array([len(b) // 8 for b in blobs], np.int64)
+        self.flat = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_inverse=True)[1]
+        self.ptr = np.concatenate(([0], np.cumsum(self.n)))
+        self.mark = np.zeros(int(self.flat.max(initial=-1)) + 1, bool)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.flat[self.ptr[i] : self.ptr[i + 1]]
+
+
+def spanning(pairs: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Those of the pairs that connect something new, and the root of each id."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out, {x: root(x) for x in up}
+
+
+ROUND = "kind int, component long, part int, a long, b long"
+
+
+def against_pivots(ids: np.ndarray, sets: list[bytes], pivot: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """(kind, a, b) from the comparison of some rows with all pivots among them.
+
+    kind 0: a spanning forest of the links; 1: row a is covered by pivot b, to
+    which it is linked; 2: no link connects row a with pivot b, but it is so
+    near that it may be linked with a row that b covers; 3: row a is covered by none.
+    """
+    s = Sets(sets)
+    wide = max(0, 2 * percent - 100)
+    linked: list[tuple[int, int]] = []
+    near: list[tuple[int, int]] = []
+    cover: dict[int, int] = {}
+    for p in np.flatnonzero(pivot).tolist():
+        both = near_counts(s.of(p), s.flat, s.ptr, s.mark)
+        total = s.n + s.n[p]
+        link = (100 + percent) * both >= percent * total
+        linked += [(int(ids[x]), int(ids[p])) for x in np.flatnonzero(link).tolist()]
+        for x in np.flatnonzero(link & ~pivot).tolist():  # a pivot is also a row of its own part
+            cover.setdefault(x, p)
+        near += [(x, p) for x in np.flatnonzero(((100 + wide) * both >= wide * total) & ~link & ~pivot).tolist()]
+    edges, root = spanning([e for e in linked if e[0] != e[1]])
+    out = [(0, a, b) for a, b in edges]
+    out += [(1, int(ids[x]), int(ids[p])) for x, p in cover.items()]
+    out += [(2, int(ids[x]), int(ids[p])) for x, p in near if root.get(int(ids[x]), -1) != root.get(int(ids[p]), -2)]
+    return out + [(3, int(ids[x]), 0) for x in np.flatnonzero(~pivot).tolist() if x not in cover]
+
+
 def links_within(ws: Workspace, sets: DataFrame, near: DataFrame) -> DataFrame:
     """Links (a, b) that span the linked rows of each group of ``near`` (id, component)."""
     rows = ws.table("near", sets.join(near, sets["doc_id"] == near["id"]).select("doc_id", "n", "component", "sset"))
-    size = rows.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") * 8 / GROUP_BYTES)).cast("int").alias("parts"))
-    size = ws.table("parts", size.withColumn("parts", F.when(F.col("parts") <= 1, 1).otherwise(F.col("parts"))))
-    # a large group is compared by pairs of its parts: each part goes to the pairs it is in
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    dealt = rows.join(size, "component").withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("component", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "doc_id", "sset")
+    several = lambda n, values: F.greatest(F.lit(1), F.ceil(n / GROUP_ROWS), F.ceil(values * 8 / GROUP_BYTES)).cast("int")
+    size = ws.table("parts", rows.groupBy("component").agg(several(F.count(F.lit(1)), F.sum("n")).alias("parts"), F.ceil(F.avg("n")).alias("mean")))
+    rows = rows.join(size, "component")
+    links = all_links(rows.filter("parts = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}))
+    if size.filter("parts > 1").isEmpty():
+        return links
+    large = rows.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # as many pivots as rows that are compared at once; they go to every part, so what moves grows with the rows
+    nth = F.row_number().over(Window.partitionBy("component").orderBy("_h", "doc_id"))
+    pivots = large.select("component", "parts", "mean", "doc_id", F.xxhash64(F.lit(7), "doc_id").alias("_h")).withColumn("_k", nth)
+    pivots = pivots.filter((F.col("_k") <= GROUP_ROWS) & (F.col("_k") <= F.greatest(F.lit(1), F.lit(GROUP_BYTES) / (8 * F.col("mean")))))
+    pivots = ws.table("pivots", large.join(pivots.select("component", "doc_id"), ["component", "doc_id"], "left_semi").select("component", "doc_id", "sset", "parts").dropDuplicates(["component", "doc_id", "sset"]))
+    dealt = large.select("component", "part", "doc_id", "sset", F.lit(False).alias("pivot"))
+    dealt = dealt.unionByName(pivots.select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "sset", F.lit(True).alias("pivot")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        c, part = table.column("component")[0].as_py(), table.column("part")[0].as_py()
+        out = against_pivots(table.column("doc_id").to_numpy(), table.column("sset").to_pylist(), table.column("pivot").to_numpy())
+        kind, a, b = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        return pa.table({"kind": pa.array(kind, pa.int32()), "component": pa.array(np.full(len(kind), c)), "part": pa.array(np.full(len(kind), part), pa.int32()), "a": a, "b": b})
+
+    first = ws.table("round", dealt.groupBy("component", "part").applyInArrow(compare, ROUND))
+    links = links.unionByName(first.filter("kind = 0").select("a", "b"))
+    # rows near a pivot that they are not connected with meet the rows that it covers, part by part
+    visits = first.filter("kind = 2").select("component", F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
+    if not visits.isEmpty():
+        covered = first.filter("kind = 1").select("component", "part", F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
+        covered = covered.join(visits.select("component", "pivot").distinct(), ["component", "pivot"], "left_semi")
+        hosts = covered.join(large.select("component", "doc_id", "sset"), ["component", "doc_id"]).withColumn("guest", F.lit(False))
+        guests = visits.join(covered.select("component", "pivot", "part").distinct(), ["component", "pivot"])
+        guests = guests.join(large.select("component", "doc_id", "sset"), ["component", "doc_id"]).withColumn("guest", F.lit(True))
+
+        def meet(table: pa.Table) -> pa.Table:
+            edges = guest_links(table.column("doc_id").to_numpy(), table.column("sset").to_pylist(), table.column("guest").to_numpy())
+            return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+        links = links.unionByName(hosts.unionByName(guests).groupBy("component", "pivot", "part").applyInArrow(meet, "a long, b long"))
+    # rows that no pivot covers
+    alone = first.filter("kind = 3").select("component", F.col("a").alias("doc_id")).distinct()
+    if not alone.isEmpty():
+        rest = ws.table("alone", large.join(alone, ["component", "doc_id"], "left_semi").select("component", "doc_id", "n", "sset"))
+        size = rest.groupBy("component").agg(several(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+        part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+        rest = rest.join(size, "component").withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        links = links.unionByName(all_links(rest.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")})))
+    return links
+
+
+def all_links(rows: DataFrame) -> DataFrame:
+    """Links that span the linked rows with the same (component, i, j)."""
 
     def compare(table: pa.Table) -> pa.Table:
         edges = forest(table.column("doc_id").to_numpy(), table.column("sset").to_pylist())
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.select("component", "i", "j", "doc_id", "sset").groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def guest_links(ids: np.ndarray, sets: list[bytes], guest: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links between guests and the others."""
+    if guest.all() or not guest.any():
+        return []
+    s = Sets(sets)
+    pairs = []
+    for g in np.flatnonzero(guest).tolist():
+        both = near_counts(s.of(g), s.flat, s.ptr, s.mark)
+        pairs += [(int(ids[x]), int(ids[g])) for x in np.flatnonzero(((100 + percent) * both >= percent * (s.n + s.n[g])) & ~guest).tolist()]
+    return spanning([e for e in pairs if e[0] != e[1]])[0]
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -390,25 +565,37 @@ def similar(docs: DataFrame) -> DataFrame:
     buckets = max(32, -(-int(total) // BLOCK_BYTES))
     counts = ws.table("counts", shared_counts(counted_blocks(docs, buckets)))
     info = counts.filter("n IS NOT NULL")
-    classes = ws.table("classes", info.filter((F.col("n") > 0) & (F.col("doc_id") != NO_ID)).groupBy("n", "sign_a", "sign_b").agg(F.min("doc_id").alias("rep")))
-    enough = counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min("n").alias("n")).filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id")
-    mask = id_filter(enough.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    sets = ws.table("sets", chosen_sets(docs, mask))
+    known = F.col("doc_id") != NO_ID
+    classes = ws.table("classes", info.filter((F.col("n") > 0) & known).groupBy("n", "sign_a", "sign_b").agg(F.min("doc_id").alias("rep")))
+    ids = ws.table("ids", counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"), F.count("n").alias("rows")))
+    enough = ids.filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id")
+    chosen = ws.table("chosen", enough.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = ws.table("sets", chosen_sets(docs, chosen, chosen.count()))
     held = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cells = min(max(LEVEL_BITS[0], (2 * int(held[1])).bit_length()), LEVEL_BITS[1])
     few = max(32, -(-int(held[1]) * 8 // BLOCK_BYTES))
-    few = 1 << min(LEVEL_BITS, (few - 1).bit_length())
-    levels = frequency_levels(sets, few)
-    sizes = {r[0]: r[1] for r in sets.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}  # a few sizes
+    few = 1 << min(cells, (few - 1).bit_length())
+    levels = frequency_levels(sets, few, cells)
+    sizes = {r[0]: r[1] for r in sets.filter(F.col("n") <= LIGHT_SIZES).groupBy("n").count().collect()}  # a few sizes
     light = boundary(sizes, 1 + float(levels.mean()))
     edges = ws.table("stars", stars(list_entries(sets, levels, light, few)))
     near = ws.table("groups", connected(ws, "cand", edges.filter("NOT proven").select("a", "b")))
-    links = ws.table("links", links_within(ws, sets, near).unionByName(edges.filter("proven").select("a", "b")))
-    comps = ws.table("comps", connected(ws, "comp", links))
-    ws.drop("sets", "near", "stars", "groups", "links", "parts")
+    links = links_within(ws, sets, near).unionByName(edges.filter("proven").select("a", "b"))
+    # a doc_id whose rows are in several classes connects them
+    twice = ids.filter((F.col("rows") > 1) & known).select("doc_id")
+    least = None
+    if not twice.isEmpty():
+        both = info.join(twice, "doc_id", "left_semi").join(classes, ["n", "sign_a", "sign_b"]).select("doc_id", "rep").distinct()
+        least = ws.table("least", both.groupBy("doc_id").agg(F.min("rep").alias("least")))
+        links = links.unionByName(both.join(least, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    comps = ws.table("comps", connected(ws, "comp", ws.table("links", links)))
+    ws.drop("sets", "near", "stars", "groups", "links", "parts", "ids", "chosen", "pivots", "round", "alone")
     named = classes.join(comps, classes["rep"] == comps["id"], "left").select("n", "sign_a", "sign_b", F.coalesce("component", "rep").alias("component"))
     named = ws.table("named", named)
     rows = info.join(named, ["n", "sign_a", "sign_b"], "left")
-    known = F.col("doc_id") != NO_ID
+    if least is not None:  # a text without words follows the others of its doc_id
+        of_id = least.join(comps, least["least"] == comps["id"], "left").select("doc_id", F.coalesce("component", "least").alias("of_id"))
+        rows = rows.join(of_id, "doc_id", "left").withColumn("component", F.coalesce("of_id", "component"))
     return rows.select(F.when(known, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
 
 
