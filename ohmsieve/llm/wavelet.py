@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from . import tokens as tk
-from .store import Workspace, load_file, read, save_file, small_batches
+from .store import FilePart, Workspace, load_file, read, save_file, small_batches
 
 MAGIC = b"OHMWM01\n"
 #: Bytes of a plane's block before compression.
@@ -75,13 +75,13 @@ def encode_shard(doc_ids: list[int | None], ptr: np.ndarray, ids: np.ndarray) ->
 
 
 class WaveletShard:
-    """Reads one shard file; blocks are decompressed when they are needed."""
+    """Reads one shard file, given as bytes or as a :class:`FilePart`; blocks are read and decompressed when they are needed."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes | FilePart):
         if blob[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard file")
-        self.n, sigma, self.bits, docs, blocks, size = struct.unpack_from("<6Q", blob, len(MAGIC))
         at = len(MAGIC) + 48
+        self.n, sigma, self.bits, docs, blocks, size = struct.unpack("<6Q", blob[len(MAGIC) : at])
         meta = zstandard.ZstdDecompressor().decompress(blob[at : at + size])
         take, place = iter(((sigma, "<u4"), (docs, "u1"), (docs, "<i8"), (docs + 1, "<i8"), (self.bits, "<i8"), (blocks, "<i8"), (blocks, "<u4"))), 0
         parts = []
@@ -195,6 +195,11 @@ class WaveletShard:
         return raw if len(raw) == full else self.plain.decompress(raw)
 
 
+def open_shard(folder: str, name: str) -> WaveletShard:
+    """A shard of which only the blocks that are asked for are read."""
+    return WaveletShard(FilePart(folder, name))
+
+
 def write_shards(spark: SparkSession, docs: DataFrame, ws: Workspace, vocabulary: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes all documents into shard files and returns their manifest (part, seq, file, n_docs, n_tokens)."""
     small_batches(spark)
@@ -211,8 +216,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, ws: Workspace, vocabulary
         docs, ptrs, ids, have = [], [np.zeros(1, np.int64)], [], 0
 
         def close():
-            name = f"{part:06d}-{seq:06d}.wm"
-            save_file(folder, name, encode_shard(docs, np.concatenate(ptrs), np.concatenate(ids)), attempt)
+            name = f"{part:06d}-{seq:06d}.{attempt}.wm"
+            save_file(folder, name, encode_shard(docs, np.concatenate(ptrs), np.concatenate(ids)))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_docs": [len(docs)], "n_tokens": [have]}, MANIFEST)
 
         for batch in batches:
@@ -243,10 +248,13 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """Every document as the shard files have it: doc_id, start, n_tokens and the ids' crc32."""
-    # one row for each shard, so this one ordered window stays small
-    before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("start"))
-    placed = placed.repartition(max(1, -(-manifest.count() // READ_SHARDS)), "file")
+    # the tokens before each writing task's first shard are summed here, one number a task; within a task a window sums
+    totals = sorted(manifest.groupBy("part").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect())  # as many rows as tasks wrote
+    begins = np.cumsum([0, *(t[1] for t in totals)]).tolist()
+    begins = manifest.sparkSession.createDataFrame([(t[0], b) for t, b in zip(totals, begins, strict=False)], "part int, begin long")
+    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    placed = manifest.join(begins, "part").select("file", (F.col("begin") + F.coalesce(before, F.lit(0))).alias("start"))
+    placed = placed.repartition(max(1, -(-sum(t[2] for t in totals) // READ_SHARDS)), "file")
 
     def task(batches):
         for batch in batches:
