@@ -3,15 +3,19 @@
 Labelled outcomes of pages (good or not) are counted by host, registered
 domain and public suffix.  Each level's rate is shrunk towards the level
 above it by a beta-binomial prior whose strength is estimated by moments from
-the spread between that level's groups; a host's posterior then decides: its
-pages are allowed if the lower posterior bound of its rate reaches the
-threshold.  Explicit rules come first; the longest that fits wins.  Only
-DataFrame functions are used.
+the spread between that level's groups.  A host's bound is the quantile
+(QUANTILE) of its beta posterior, found on a grid of the posterior's density.
+The threshold comes from the labels: the largest bound below which the hosts
+hold at most a share (MOST_BLOCKED) of the labelled pages that no rule
+decides; a host's pages are blocked if its bound is below it.  Explicit rules come first; the longest that
+fits wins.  Only DataFrame functions are used.
 
 Defined cases: a null url or one without ``://`` has an empty host and path
-and takes the prior of the empty suffix; hosts without labelled pages take
-their domain's prior; repeated pages are judged each; an empty table gives no
-row; other columns are ignored.
+and the reputation of the empty host; hosts without labelled pages have their
+domain's rate as prior and no record; without any labelled page nothing is
+blocked; repeated pages are judged, and count, each; labels that a page_id has
+from several urls count as the worst of them; an empty table gives no row;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +27,16 @@ from .store import Workspace, read
 
 #: (verdict, rule): a host and its subdomains, with the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Public suffixes of two labels; any other suffix is the last label.
-WIDE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "co.in")
-THRESHOLD = 0.5
-#: Standard deviations below the posterior mean at which the bound lies (95 %, one side).
-BOUND_SD = 1.645
+#: Labels that make a public suffix of two labels when a country's two letters follow; any other suffix is the last label.
+SECOND_LEVEL = "ac|co|com|edu|gob|gov|go|ltd|mil|ne|net|nom|or|org|plc|sch"
+#: The bound is this quantile of the posterior.
+QUANTILE = 0.05
+#: Share of the labelled pages without a rule that the blocked hosts may hold.
+MOST_BLOCKED = 0.1
+#: Least and most pages that a prior is worth.
 STRENGTH = (2.0, 500.0)
+#: Steps of the grid for a bound, a tenth of a standard deviation each, and bins of bounds for the threshold.
+GRID, BINS = 400, 8192
 SALTS = 16
 
 
@@ -55,47 +63,84 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def site_of(host: Column) -> tuple[Column, Column]:
     """Registered domain and public suffix of a host; a port or user name is ignored."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
-    wide = "|".join(s.replace(".", r"\.") for s in WIDE_SUFFIXES)
+    wide = rf"(?:{SECOND_LEVEL})\.[a-z][a-z]"
     suffix = F.when(bare.rlike(r"^[\d.]+$"), F.lit("")).otherwise(F.regexp_extract(bare, rf"(?:^|\.)({wide}|[^.]*)$", 1))
     domain = F.when(bare.rlike(r"^[\d.]+$"), bare).otherwise(F.regexp_extract(bare, rf"((?:[^.]+\.)?(?:{wide}|[^.]*))$", 1))
     return domain, suffix
 
 
-def _strength(stats: DataFrame, prior: str) -> DataFrame:
-    """The prior's weight in pages, by moments: how far group rates spread beyond what chance explains."""
-    n, m = F.col("n"), F.col(prior)
-    sums = stats.agg(F.sum(n * m * (1 - m)).alias("v"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.pow(F.col("k") - n * m, 2) / n).alias("q"), F.sum(n * n).alias("nn"))
-    base = F.col("v") / F.col("n")
-    between = (F.col("q") - F.col("g") * base) / F.col("n")
-    k = F.when((F.col("n") > 0) & (between > 0), base / between - 1).otherwise(F.lit(STRENGTH[1]))
-    return sums.select(F.least(F.greatest(F.coalesce(k, F.lit(STRENGTH[0])), F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("w"))
+def strength(stats: DataFrame) -> float:
+    """The prior's weight in pages, by moments: how far the rates of groups (k good of n, expected rate m) spread beyond what chance explains."""
+    n, m = F.col("n"), F.col("m")
+    sums = stats.filter("n > 0").agg(F.sum(n * m * (1 - m)), F.sum(n), F.count(F.lit(1)), F.sum(F.pow(F.col("k") - n * m, 2) / n))
+    v, total, groups, q = sums.first()  # one row
+    if not total:
+        return STRENGTH[0]
+    base = v / total
+    between = (q - groups * base) / total
+    return min(max(base / between - 1, STRENGTH[0]), STRENGTH[1]) if between > 0 else STRENGTH[1]
+
+
+def beta_quantile(a: Column, b: Column, q: float = QUANTILE) -> Column:
+    """The q-quantile of beta(a, b) with a, b > 0.
+
+    In terms of u = ln(x / (1 - x)) the density is smooth and falls off
+    exponentially on both sides for any a and b, so equal steps sum it well.
+    """
+    mode, sd = F.log(a / b), F.sqrt(1 / a + 1 / b)
+    soft = lambda u: F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
+    at = lambda i: mode + sd * (i - GRID / 2) * 0.1
+    weight = lambda i: F.exp(a * (at(i) - mode) - (a + b) * (soft(at(i)) - soft(mode)))
+    mass = F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda i: weight(i.cast("double")))
+    total = F.aggregate(mass, F.lit(0.0), lambda s, x: s + x)
+    # the accumulator carries the goal, which would be computed anew for each step otherwise
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-0.5).alias("steps"), (F.lit(q) * total).alias("goal"))
+    # a step counts as far as the goal reaches into it; steps without any mass before it count whole
+    share = lambda s, x: F.when(x > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (s["goal"] - s["sum"]) / x))).otherwise(F.when(s["sum"] > 0, 0.0).otherwise(1.0))
+    found = F.aggregate(mass, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["steps"] + share(s, x)).alias("steps"), s["goal"].alias("goal")))
+    return 1 / (1 + F.exp(-at(found["steps"])))
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """host, host_rate, host_bound from rows (host, domain, suffix, good), ``good`` null where a page has no label.
+    """host, open, host_rate, host_bound from rows (host, domain, suffix, good, ruled), ``good`` null where a page has no label.
 
-    Every host, domain and suffix of the input gets a row at its level, also without labels.
+    ``open`` counts the labelled pages that are not ``ruled``.  Every host of the
+    input gets a row, also without labels.
     """
-    hosts = outcomes.groupBy("host", "domain", "suffix").agg(F.sum("good").alias("k"), F.count("good").alias("n"))
-    hosts = hosts.withColumns({"k": F.coalesce("k", F.lit(0)).cast("double"), "n": F.col("n").cast("double")})
-    hosts = Workspace(hosts.sparkSession, "reputation").table("counts", hosts)  # read at every level
+    ws = Workspace(outcomes.sparkSession, "reputation")
+    hosts = outcomes.groupBy("host", "domain", "suffix").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("k"), F.count("good").cast("double").alias("n"), F.count(F.when(~F.col("ruled"), F.col("good"))).alias("open"))
+    hosts = ws.table("counts", hosts)  # read at every level
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m0"))
+    k, n = suffixes.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()  # one row
+
+    def shrunk(stats: DataFrame) -> tuple[DataFrame, float]:
+        """The posterior rate of groups (k, n) with the prior rate m."""
+        w = strength(stats)
+        return stats.withColumn("rate", (F.col("k") + w * F.col("m")) / (F.col("n") + w)), w
+
+    above = lambda name, df: df.select(*name, F.col("rate").alias("m"))
+    suffixes, _ = shrunk(suffixes.withColumn("m", F.lit((k + 1) / (n + 2))))
+    domains, _ = shrunk(domains.join(above(["suffix"], suffixes), "suffix"))
+    hosts, w = shrunk(hosts.join(above(["domain", "suffix"], domains), ["domain", "suffix"]))
+    a, b = F.col("k") + w * F.col("m"), F.col("n") - F.col("k") + w * (1 - F.col("m"))
+    return ws.table("hosts", hosts.select("host", "open", F.col("rate").alias("host_rate"), beta_quantile(a, b).alias("host_bound")))
 
-    def shrunk(stats: DataFrame, prior: str, out: str) -> DataFrame:
-        seen = stats.filter("n > 0")
-        return stats.join(F.broadcast(_strength(seen, prior)), F.lit(True)).withColumn(out, (F.col("k") + F.col("w") * F.col(prior)) / (F.col("n") + F.col("w")))  # one row is broadcast
 
-    suffixes = shrunk(suffixes.join(F.broadcast(top), F.lit(True)), "m0", "m1").select("suffix", "m1")
-    domains = shrunk(domains.join(suffixes, "suffix"), "m1", "m2").select("domain", "suffix", "m2")
-    hosts = shrunk(hosts.join(domains, ["domain", "suffix"]), "m2", "rate")
-    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("w") + 1))
-    return hosts.select("host", F.col("rate").alias("host_rate"), (F.col("rate") - BOUND_SD * sd).alias("host_bound"))
+def threshold_of(hosts: DataFrame, most: float = MOST_BLOCKED) -> float:
+    """The largest bound below which hosts (open, host_bound) hold at most a share of the labelled pages without a rule, to 1 / BINS."""
+    place = F.least(F.floor(F.col("host_bound") * BINS), F.lit(BINS - 1)).cast("int")
+    pages = dict(hosts.filter("open > 0").groupBy(place.alias("bin")).agg(F.sum("open")).collect())  # at most BINS rows
+    room, at = most * sum(pages.values()), 0
+    for at in sorted(pages):
+        room -= pages[at]
+        if room < 0:
+            return at / BINS
+    return 0.0
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict, host_rate, host_bound for every page; outcomes: (page_id, good 0 or 1), at most one row a page.
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, most: float = MOST_BLOCKED) -> DataFrame:
+    """page_id, host, path, rule, verdict, host_rate, host_bound for every page; outcomes: (page_id, good 0 or 1), at most one row a page_id.
 
     A host may hold a third of all pages: counts are taken before any shuffle
     by host, and pages meet their host's row by host and a salt.
@@ -104,22 +149,23 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float =
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     domain, suffix = site_of(F.col("host"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    seen = rows.select("page_id", "host", domain.alias("domain"), suffix.alias("suffix")).join(outcomes.select("page_id", "good"), "page_id", "left")
-    ws = Workspace(pages.sparkSession, "reputation")
-    rep = ws.table("hosts", reputations(seen)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = rows.select("page_id", "host", domain.alias("domain"), suffix.alias("suffix"), name.isNotNull().alias("ruled")).join(outcomes.select("page_id", "good"), "page_id", "left")
+    rep = reputations(seen)
+    least = threshold_of(rep, most)
+    rep = rep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumns({"rule": name, "_said": verdict, "salt": F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")})
     out = rows.join(rep, ["host", "salt"], "left")
-    by_method = F.when(F.col("host_bound") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_said", by_method).alias("verdict"))
+    by_method = F.when(F.col("host_bound") < least, F.lit("block")).otherwise(F.lit("allow"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("_said", by_method).alias("verdict"), "host_rate", "host_bound")
 
 
 def outcomes_by_url(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of pages whose url ends in the number of a labelled document: good is quality 1 and not toxic."""
+    """Labels of pages whose url ends in the number of a labelled document: good is quality 1 and not toxic; one row a page_id."""
     number = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT)")
     good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)
     by_doc = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(good).alias("good"))
-    numbered = pages.filter(F.col("page_id").isNotNull()).select("page_id", number.alias("doc_id")).dropDuplicates(["page_id"])
-    return numbered.join(by_doc, "doc_id").select("page_id", "good")
+    numbered = pages.filter(F.col("page_id").isNotNull()).select("page_id", number.alias("doc_id"))
+    return numbered.join(by_doc, "doc_id").groupBy("page_id").agg(F.min("good").alias("good"))
 
 
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
