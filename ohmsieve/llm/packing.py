@@ -116,22 +116,24 @@ def pieces(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, schema)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), salt: str | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to capacity.
 
     ``items`` is read three times, so it should be a written table.  ``order``
-    decides between pieces of equal length; rows equal in it are alike.
+    decides between pieces of equal length; rows equal in it are alike.  They
+    are ranked apart if the column ``salt``, which the result lacks, has
+    different numbers for them.
     """
     total = items.count()
     buckets = max(16, -(-total // RANK_ROWS))
-    items = items.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    items = items.withColumn("_bucket", F.pmod(F.xxhash64(*order, *([salt] if salt else [])), F.lit(buckets)).cast("int"))
     counts = items.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     hist = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
     place = placements(best_two_fit(hist, capacity))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)).cast("long") - 1)
     ranked = ranked.join(counts.select("length", "_bucket", before.alias("_before")), ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    kept = [c for c in items.columns if c != "_bucket"]
+    kept = [c for c in items.columns if c not in ("_bucket", salt)]
     names = [*kept, "_rank"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name in kept) + ", sequence_id long, offset long"
     width = int(max(hist.values(), default=0)) + 1
@@ -150,7 +152,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
 def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Tokenises, cuts and packs documents."""
     ws = Workspace(spark, "packing")
-    return pack(ws.table("pieces", pieces(spark, docs)))
+    made = pieces(spark, docs).withColumn("_salt", F.monotonically_increasing_id())
+    return pack(ws.table("pieces", made), salt="_salt")
 
 
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
