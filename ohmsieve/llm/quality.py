@@ -9,8 +9,8 @@ probability of good quality reaches the threshold.
 
 Defined cases: a null or empty text has no words and fails the base rules;
 without labels of both classes the classifier keeps everything; rows with
-equal texts get equal results; an empty table gives no row; other columns
-are ignored.
+equal texts get equal results; a column that has the name of a result is
+replaced by it; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
 from .sample import labelled_texts, logistic, natural, slices
-from .store import read, small_batches
+from .store import extended, read, small_batches
 
 #: Labelled documents of each class that may be used for fitting, and the bytes of the longest.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 16384
@@ -173,26 +174,23 @@ def _later_equal(values: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, good_score double, kept boolean"
 
 
-def judge(docs: DataFrame, model: NgramModel, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs``, the base counts, ``base_failed``, ``good_score`` and ``kept``."""
+NAMES = tuple(x.split()[0] for x in OUT.split(", "))
+
+
+def judge(docs: DataFrame, model: NgramModel, threshold: float = THRESHOLD, names: tuple[str, ...] | list[str] = NAMES) -> DataFrame:
+    """All columns of ``docs``, the base counts, ``base_failed``, ``good_score`` and ``kept``, under other names if these are given."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    names = [x.split()[0] for x in OUT.split(", ")]
-
-    def task(batches):
-        for batch in batches:
-            parts = []
-            for _, _, data, offs in tv.text_slices(batch.column(at)):
-                c = base_counts(data, offs)
-                p = model.probability(data, offs)
-                failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-                parts.append([*(c[n].astype(np.int64) for n in names[:5]), failed, p, ~failed & (p >= threshold)])
-            cols = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-            if cols:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(task, f"{fields}, {OUT}")
+
+    def results(text) -> list[pa.Array]:
+        parts = []
+        for _, _, data, offs in tv.text_slices(text):
+            c, p = base_counts(data, offs), model.probability(data, offs)
+            failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+            parts.append([*(c[n].astype(np.int64) for n in NAMES[:5]), failed, p, ~failed & (p >= threshold)])
+        return [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+
+    kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
+    return extended(docs.drop(*names), lambda: results, [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
 
 
 def learn_model(docs: DataFrame, labels: DataFrame) -> NgramModel:

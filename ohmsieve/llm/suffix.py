@@ -21,7 +21,8 @@ of the two in a match of neighbours, by the first place of the hash elsewhere.
 Defined cases: a null or empty text, or one of fewer words, has no span;
 repeats inside one document count as repeats; rows that share a ``doc_id``
 are read as one document's rows and share its spans; a null ``doc_id`` takes
-no part; an empty table gives no row; other columns are ignored.
+no part; an empty table gives no row; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .jaccard import bucket_of, five, from_five, runs
-from .store import Workspace, read, small_batches
+from .store import Workspace, columns_of, free_names, mapped, read, small_batches
 
 GRAM, WINDOW = 35, 16
 MIN_WORDS = GRAM + WINDOW - 1
@@ -289,12 +290,16 @@ def repeated_spans(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     return ws.table("spans", placed.groupBy("doc_id").applyInArrow(join, "doc_id long, first_word long, n_words long, later boolean"))
 
 
-def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the later spans cut from ``text``; documents of which nothing is left go.  ``n_chars`` follows where it is a column."""
+def without_repeats(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` with the later spans cut from ``text``; documents of which nothing is left go.  ``n_chars`` follows where it is a column.
+
+    ``key`` is the column of ``docs`` that has what the spans call ``doc_id``.
+    """
     small_batches(docs.sparkSession)
-    cuts = spans.filter("later").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cuts"))
-    joined = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
-    names, at = docs.columns, docs.columns.index("text")
+    (name,) = free_names(docs.columns, "cuts")
+    cuts = spans.filter("later").withColumnRenamed("doc_id", key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(name))
+    joined = docs.join(cuts, key, "left").select(*columns_of(docs), name)
+    names, at = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
 
     def task(batches):
         for batch in batches:
@@ -306,16 +311,16 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     keep, done = [], 0
                     for r in ranges:
                         a, b = r["first_word"], r["first_word"] + r["n_words"]
-                        keep.append(raw[done : starts[a]])
-                        done = int(starts[b]) if b < len(starts) else len(raw)
+                        if a < len(starts):  # rows that share a doc_id may be shorter
+                            keep.append(raw[done : starts[a]])
+                            done = int(starts[b]) if b < len(starts) else len(raw)
                     text[i] = b"".join([*keep, raw[done:]]).decode("utf-8", "replace")
             cols = [*batch.columns[:-1]]
             cols[at] = pa.array(text, pa.string())
             left = [not ranges or bool(t and t.strip(" \t\n\v\f\r")) for ranges, t in zip(cut, text, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(left, pa.bool_()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = joined.mapInArrow(task, fields)
+    out = mapped(joined, task, docs.schema.fields)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import textvec as tv
 from .sample import labelled_texts, logistic, natural, slices
-from .store import read, small_batches
+from .store import extended, read, small_batches
 
 WINDOW_WORDS = 4
 #: Labelled documents of each class that may be used for fitting, and the bytes of the longest.
@@ -129,7 +129,7 @@ def text_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     value, count = np.empty(0, U), np.empty(0, np.int64)
     for data, offs in slices(texts):
         v, at = runs_of(plain(data), offs)
-        doc = tv.owner(offs)[at].astype(U)  # a slice has fewer than 2 ** 16 texts that hold a run
+        doc = tv.owner(offs)[at].astype(U)  # fewer than 2 ** 16: at most 2 * TRAIN_DOCS
         each = np.unique(doc << U(8 * RUN) | v[at]) & U((1 << 8 * RUN) - 1)
         a, c = np.unique(each, return_counts=True)
         value, count = np.concatenate((value, a)), np.concatenate((count, c))
@@ -230,16 +230,12 @@ def learn_model(docs: DataFrame, labels: DataFrame) -> CompressionModel:
 def score_column(docs: DataFrame, model: CompressionModel, name: str = "toxic_score") -> DataFrame:
     """All columns of ``docs`` and the score as the column ``name``."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(name)
-    at = docs.columns.index("text")
 
-    def task(batches):
+    def start():
         pair = model.compressors() if model.toxic else None
-        for batch in batches:
-            scores = [model.score(data, offs, pair) for _, _, data, offs in tv.text_slices(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], [*batch.schema.names, name])
+        return lambda text: [pa.array(np.concatenate([model.score(data, offs, pair) for _, _, data, offs in tv.text_slices(text)]))]
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return extended(docs.drop(name), start, [T.StructField(name, T.DoubleType())])
 
 
 def op8_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

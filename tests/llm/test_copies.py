@@ -77,6 +77,83 @@ def test_join_large_group_in_parts(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.similar(docs(spark, rows)).collect()} == want
 
 
+def steps_of(seed):
+    """Chains of texts in which only neighbours are linked, around bases that share much; nearly all are in one candidate group."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    first, rows = [word() for _ in range(80)], []
+    for _ in range(6):
+        base = [w if rng.random() < 0.9 else word() for w in first]
+        for _ in range(rng.choice([3, 12, 20])):
+            if rng.random() < 0.7:
+                base = list(base)
+            w = base
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                w[rng.randrange(80)] = word()
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_join_pivots_against_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 4)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", (4, 3))  # rows meet the ids that go on in a join
+    rows = steps_of(seed)
+    want = plain_components(plain_sets(rows))
+    assert 5 < len(set(want.values())) < len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar(docs(spark, rows)).collect()} == want
+
+
+def test_pivots_leave_no_link_out():
+    rng = random.Random(3)
+    sets = []
+    for _ in range(90):
+        base = set(sets[rng.randrange(len(sets))]) if sets and rng.random() < 0.8 else set(rng.sample(range(300), 40))
+        for _ in range(rng.choice([1, 2, 4, 8])):
+            base.discard(rng.choice(sorted(base)))
+            base.add(rng.randrange(300))
+        sets.append(base)
+    blobs = [np.array(sorted(s), "<u8").tobytes() for s in sets]
+    ids = np.arange(90)
+    pivot = np.zeros(180, bool)
+    pivot[90 + np.array(rng.sample(range(90), 9))] = True
+    at = np.concatenate((ids, np.flatnonzero(pivot) - 90))
+    got = jaccard.against_pivots(at, [blobs[i] for i in at], np.arange(len(at)) >= 90)
+    root = jaccard.spanning([(a, b) for k, a, b in got if k == 0])[1]
+    cover = {a: b for k, a, b in got if k == 1}
+    near, alone = {(a, b) for k, a, b in got if k == 2}, {a for k, a, _ in got if k == 3}
+    assert alone == set(range(90)) - set(cover)
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                met = (a, cover.get(b)) in near or (b, cover.get(a)) in near or (a in alone and b in alone)
+                assert met or root.get(a, -1) == root.get(b, -2)
+
+
+def test_join_repeated_ids(spark):
+    x, y, z = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(3, x), (4, y), (5, x), (5, y), (7, z), (7, y), (8, z), (9, ""), (9, z)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.similar(docs(spark, rows)).collect())
+    assert got == sorted((i, 3) for i, _ in rows)
+
+
+def test_join_one_common_line(spark):
+    """A line that all texts have makes no group of them."""
+    rng = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(12))
+    rows = [(i, line + " " + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " tail") for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar(docs(spark, rows)).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i, _ in rows}
+
+
+def test_unsettled_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected(Workspace(spark, "cc"), "t", edges, rounds=2)
+
+
 def test_join_odd_rows(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, "a b c d e f")]
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs(spark, rows)).collect())
@@ -94,6 +171,7 @@ def test_size_rules():
                 assert 100 * k >= 75 * (a + b - k) and 100 * (k - 1) < 75 * (a + b - k + 1)
     assert jaccard.boundary({3: 10**6, 300: 10}, 50.0) >= 3
     assert jaccard.boundary({12: 10, 300: 10}, 1.0) < 12
+    assert jaccard.boundary({14: 10}, 1e9) >= 14  # as far as it pays
 
 
 def test_forest_spans_links():
@@ -214,6 +292,66 @@ def test_later_against_brute_force(spark, gram, batch):
         assert kept[1] == a and kept[2] == b and 3 not in kept and kept[4] == c and len(kept[5]) == 9
 
 
+CLASHING = ["kept", "n_words", "toxic_score", "TOXIC_SCORE_", "cuts", "_cuts", "row", "good_score", "component_id", "a.b", "sset"]
+
+
+def clashing(spark, rows):
+    """Documents with further columns that have names the stages use themselves."""
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(i, t, len(t or ""), *(f"{c}{k}" for c in CLASHING)) for k, (i, t) in enumerate(rows)], schema)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices(["an", "the", "ou", "in", "er", "st"], k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word() for _ in range(60)) + (" nastyword" * 3 if i % 4 == 0 else "")) for i in range(100)]
+    path = str(tmp_path_factory.mktemp("labelled"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 7 > 0), int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_stages_with_clashing_columns(spark, labelled):
+    import corpus_pipeline as c
+
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    p = text(70)
+    rows = [(1, text(40)), (2, p), (3, text(40) + " " + p), (4, None), (5, ""), (6, "y" * 30000)]
+    rows.append((7, rows[0][1]))
+    for name, stage in c.STAGES[:-1]:
+        for part in (rows, rows[:0]):
+            d = clashing(spark, part)
+            out = stage(spark, d, labelled)
+            assert out.columns == d.columns, name
+            before = {r["doc_id"]: r for r in d.collect()}
+            for r in out.collect():
+                old = before[r["doc_id"]]
+                assert all(r[k] == old[k] for k in CLASHING), name
+                if name == "suffix_dedup":
+                    assert r["n_chars"] == len(r["text"] or "")
+                else:
+                    assert r == old
+    assert {r["doc_id"] for r in c.jaccard_stage(spark, clashing(spark, rows), labelled).collect()} == {1, 2, 3, 4, 5, 6}
+    packed = c.packing_stage(spark, clashing(spark, rows), labelled)
+    assert {r["doc_id"] for r in packed.collect()} == {i for i, _ in rows}
+
+
+def test_stages_judge_rows_where_ids_repeat(spark, labelled):
+    import corpus_pipeline as c
+
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    x, y, z, p = text(40), text(40), text(40), text(60)
+    rows = [(3, x), (5, x), (5, y), (5, y), (None, y), (None, z), (None, z), (9, None), (9, "")]
+    kept = sorted(((r["doc_id"] or -1), r["text"] or "") for r in c.jaccard_stage(spark, clashing(spark, rows), labelled).collect())
+    assert kept == sorted([(3, x), (5, y), (-1, z), (9, ""), (9, "")])
+    rows = [(3, p), (3, "start " + p + " end"), (3, x), (None, y)]
+    kept = sorted(r["text"] for r in c.suffix_stage(spark, clashing(spark, rows).coalesce(1), labelled).collect())
+    assert kept == sorted([p, "start end", x, y])
+
+
 def test_removal_keeps_first_copy(spark):
     rng = random.Random(7)
     p = " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(90))

@@ -1,6 +1,7 @@
 """Ring, reputation, top-k, toxicity and quality."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -29,6 +30,31 @@ def test_ring_balance_and_slots(spark):
     assert ring.assign(docs(spark, [])).count() == 0
 
 
+def test_ring_splits_hot_cells(spark, monkeypatch):
+    monkeypatch.setattr(ring, "RANK_ROWS", 7)
+    rows = [(7, "same")] * 150 + [(i, f"text {i}") for i in range(200)] + [(None, "x")] * 40
+    got = ring.assign(docs(spark, rows).repartition(5), shards=6, cells=32, per_shard=4).toPandas()
+    assert len(got) == len(rows) and got.groupby("shard").size().agg(["min", "max"]).tolist() == [65, 65]
+    for _, s in got.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+
+
+def test_ring_moves_little():
+    """One more shard takes its share and little else moves; one more row moves nearly none."""
+    rng = np.random.default_rng(1)
+    counts = dict(enumerate(rng.poisson(3, ring.CELLS).tolist()))
+
+    def places(counts, shards):
+        return {(c, i): s for c, rank, n, s, _ in ring.walk(counts, shards, ring.NODES, ring.CELLS) for i in range(rank, rank + n)}
+
+    now, grown = places(counts, 40), places(counts, 41)
+    moved = sum(now[x] != grown[x] for x in now) / len(now)
+    assert 1 / 41 <= moved < 2 / 41
+    counts[17] += 1
+    more = places(counts, 40)
+    assert sum(now[x] != more[x] for x in now) < 0.01 * len(now)
+
+
 def test_ring_moves_only_overflow():
     """Rows that find room stay with the owner of their cell; what overflows goes to the next shard with room."""
     random.seed(1)
@@ -71,6 +97,7 @@ def pages_of(spark, urls):
 def test_urls_and_rules(spark):
     pages = pages_of(spark, URLS)
     got = {r["page_id"]: r for r in reputation.judge(pages, spark.createDataFrame([], "page_id long, good int")).collect()}
+    assert all(r["verdict"] == "allow" for r in got.values() if r["rule"] is None)  # without labels nothing is blocked
     for i, u in enumerate(URLS):
         host, path = plain_split(u)
         rule, verdict = plain_rule(host, path)
@@ -83,10 +110,74 @@ def test_reputation_shrinks_and_blocks(spark):
     urls = [f"http://good.one.test/en/{i}" for i in range(60)] + [f"http://bad.two.test/en/{i}" for i in range(60)] + ["http://new.two.test/en/1", "http://new.one.test/en/1"]
     good = [(i, int(i < 60) if i % 10 else 1 - int(i < 60)) for i in range(120)]
     got = {r["page_id"]: r["verdict"] for r in reputation.judge(pages_of(spark, urls), spark.createDataFrame(good, "page_id long, good int")).collect()}
+    assert {got[i] for i in range(60)} == {"allow"} and {got[i] for i in range(60, 120)} == {"allow"} and got[121] == "allow"
+    got = {r["page_id"]: r["verdict"] for r in reputation.judge(pages_of(spark, urls), spark.createDataFrame(good, "page_id long, good int"), most=0.5).collect()}
     assert {got[i] for i in range(60)} == {"allow"} and {got[i] for i in range(60, 120)} == {"block"} and got[120] == "block"
     assert [reputation.site_of(F.lit(h)) for h in ("a",)] and spark.range(1).select(*reputation.site_of(F.lit("x.y.co.uk:8"))).first()[0] == "y.co.uk"
 
 
+def beta_cdf(x, a, b):
+    """By plain sums of the density on the logistic scale."""
+    u = np.linspace(-60, 60, 400_001)
+    f = a * u - (a + b) * np.logaddexp(0, u)
+    f = np.exp(f - f.max())
+    return f[u <= np.log(x / (1 - x))].sum() / f.sum()
+
+
+def test_bound_is_the_quantile(spark):
+    ab = [(1.0, 1.0), (0.3, 0.2), (380.0, 120.0), (5.0, 0.5), (2.0, 40000.0)]
+    rows = spark.createDataFrame(ab, "a double, b double").select("a", "b", reputation.beta_quantile(F.col("a"), F.col("b")).alias("x")).collect()
+    assert len(rows) == len(ab)
+    for r in rows:
+        assert abs(beta_cdf(r["x"], r["a"], r["b"]) - 0.05) < 2e-3
+
+
+def plain_strength(stats):
+    seen = [(k, n, m) for k, n, m in stats if n]
+    base = sum(n * m * (1 - m) for _, n, m in seen) / sum(n for _, n, _ in seen)
+    between = (sum((k - n * m) ** 2 / n for k, n, m in seen) - len(seen) * base) / sum(n for _, n, _ in seen)
+    return min(max(base / between - 1, 2), 500) if between > 0 else 500
+
+
+def test_posteriors_against_plain_ones(spark):
+    rng = random.Random(3)
+    rows = []
+    for h in range(40):
+        host = f"h{h}.d{h % 7}.{'com' if h % 7 < 4 else 'net'}"
+        for _ in range(rng.randint(0, 30)):
+            rows.append((host, f"d{h % 7}", host.split(".")[-1], int(rng.random() < (0.9 if h % 7 < 5 else 0.4)) if rng.random() < 0.8 else None, rng.random() < 0.3))
+        rows.append((host, f"d{h % 7}", host.split(".")[-1], None, False))
+    got = {r["host"]: r for r in reputation.reputations(spark.createDataFrame(rows, "host string, domain string, suffix string, good int, ruled boolean")).collect()}
+    count = lambda key: {k: (sum(r[3] or 0 for r in rows if key(r) == k), sum(r[3] is not None for r in rows if key(r) == k)) for k in {key(r) for r in rows}}
+    k, n = map(sum, zip(*count(lambda r: 0).values(), strict=True))
+    prior = {s: (k + 1) / (n + 2) for s in ("com", "net")}
+    levels = ((lambda r: r[2], lambda r: r[2]), (lambda r: r[1], lambda r: r[2]), (lambda r: r[0], lambda r: r[1]))
+    for key, up in levels:
+        c, above = count(key), {key(r): up(r) for r in rows}
+        m = prior if key(rows[0]) == up(rows[0]) else {x: rate[above[x]] for x in c}
+        w = plain_strength([(*c[x], m[x]) for x in c])
+        rate = {x: (c[x][0] + w * m[x]) / (c[x][1] + w) for x in c}
+    assert set(got) == set(rate)
+    for h, r in got.items():
+        a, b = c[h][0] + w * m[h], c[h][1] - c[h][0] + w * (1 - m[h])
+        assert r["host_rate"] == pytest.approx(rate[h]) and abs(beta_cdf(r["host_bound"], a, b) - 0.05) < 2e-3
+        assert r["open"] == sum(x[3] is not None and not x[4] for x in rows if x[0] == h)
+    order, room, least = sorted(got.values(), key=lambda r: r["host_bound"]), 0.1 * sum(r["open"] for r in got.values()), None
+    for r in order:
+        room -= r["open"]
+        if room < 0:
+            least = r["host_bound"]
+            break
+    t = reputation.threshold_of(spark.createDataFrame([(r["open"], r["host_bound"]) for r in order], "open long, host_bound double"))
+    assert least - 1 / reputation.BINS <= t <= least
+
+
+def test_outcomes_of_repeated_pages(spark):
+    pages = pages_of(spark, ["http://a.b/en/1", "http://a.b/en/2", "http://a.b/en/3", "nothing"]).withColumn("page_id", F.when(F.col("page_id") < 2, 5).otherwise(F.col("page_id")))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, None), (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, reputation.outcomes_by_url(pages, labels).collect())) == [(2, 1), (5, 0)]
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.1, 8)], 0) for i in range(300)]
@@ -94,15 +185,42 @@ def test_topk_against_brute_force(spark):
     rows += [(400, None, 0), (401, [1.0, None] + [0.0] * 6, 0), (402, [float("nan")] * 8, 0), (420, [0.5, 0.5], 0), (421, [1.0, -1.0], 0), (None, rows[0][1], 0), (20, rows[3][1], 1)]
     t = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     got = {}
-    for r in topk.top_k(spark, t, t.filter("vec_id % 20 = 0"), 20).collect():
+    for r in topk.top_k(spark, t, F.col("vec_id") % 20 == 0, 20).collect():
         got.setdefault(r["query"], []).append((r["rank"], r["vec_id"], r["score"]))
     ok = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    for q, v in ok:
-        if q % 20 == 0 and q != 20:
-            best = sorted(((-int(v @ w), i) for i, w in ok if i != q and len(w) == len(v)))[:20]
-            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got[420] == [(1, 421, int(np.floor(32) * 64 - 32 * 64))]
-    assert topk.top_k(spark, t.limit(0), t.limit(0)).count() == 0
+    want = {}
+    for a, (q, v) in enumerate(ok):  # a query is a row: its own row alone is no candidate
+        if q % 20 == 0:
+            best = sorted(((-int(v @ w), i) for b, (i, w) in enumerate(ok) if a != b and len(w) == len(v)))[:20]
+            want.setdefault(q, []).extend((k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    assert len(got[20]) == 40 and got[420] == [(1, 421, int(np.floor(32) * 64 - 32 * 64))]
+    assert topk.top_k(spark, t.limit(0), F.lit(True)).count() == 0
+
+
+def test_topk_repeated_queries_and_other_tables(spark):
+    rows = [(20, [1.0, 0.5], 0), (20, [1.0, 0.5], 0), *((i, [0.1 * i, 0.2], 0) for i in range(1, 6))]
+    t = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got = [tuple(r)[1:] for r in topk.top_k(spark, t, F.col("vec_id") == 20, 3).collect()]
+    assert sorted(got) == sorted([(1, 20, 64 * 64 + 32 * 32), (2, 5, 64 * 32 + 32 * 12), (3, 4, 64 * 25 + 32 * 12)] * 2)
+    others = topk.quantised(spark.createDataFrame([(20, [1.0, 0.5], 0), (8, None, 0)], "vec_id long, embedding array<float>, label int"))
+    assert [tuple(r) for r in topk.top_k(spark, t, others, 1).collect()] == [(20, 1, 20, 64 * 64 + 32 * 32)]
+
+
+def test_topk_with_floors(spark, monkeypatch):
+    """Blocks that are met first set the floor for the others."""
+    monkeypatch.setattr(topk, "LEAST_ROWS", 10)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 8], 0) for i in range(400)]  # many ties
+    t = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got = {}
+    for r in topk.top_k(spark, t, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = np.floor(64 * np.array([r[1] for r in rows])).astype(int)
+    for q in range(0, 400, 20):
+        best = sorted((-int(v[q] @ v[i]), i) for i in range(400) if i != q)[:20]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
 def test_impact_segments_cover_all_postings():
@@ -136,6 +254,40 @@ def test_toxicity_on_held_out_texts():
     assert toxicity.fit([b"a", b"b"], [1, 1]).score(*batch(["x"]), None).tolist() == [1.0]
 
 
+def test_marked_runs_against_plain_counts():
+    rng = random.Random(2)
+    toxic = [(words_of(rng, 30) + " Vile\tterm").encode() for _ in range(60)]
+    ordinary = [words_of(rng, 30).encode() for _ in range(200)]
+    got = toxicity.marked_runs(toxic, ordinary)
+    plain = lambda t: {re.sub(rb"[\x09-\x0d]", b" ", t.lower())[i : i + 6] for i in range(len(t) - 5)}
+    a, b = (Counter(x for t in ts for x in plain(t)) for ts in (toxic, ordinary))
+    want = {}
+    for x, n in a.items():
+        p = (n + b[x]) / 260
+        z = (n / 60 - b[x] / 200) / (p * (1 - p) * (1 / 60 + 1 / 200)) ** 0.5 if p < 1 else 0
+        if z >= toxicity.MARKED and n > 2:
+            want[int.from_bytes(x, "little")] = z
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    content = toxicity.passages(toxic, got, 1 << 16)
+    runs = {int.from_bytes(content[i : i + 6], "little") for i in range(len(content) - 5)}
+    assert set(got) <= runs and len(content) < 12 * len(got)
+    assert toxicity.passages(toxic, {}, 100) == b"" and len(toxicity.passages(toxic, got, 24)) == 24
+
+
+def test_toxicity_query(spark, tmp_path):
+    """The registered query: held-out rows are those of the contract and do not teach."""
+    rng = random.Random(5)
+    rows = [(i, words_of(rng, 50) + (" vileterm" * 3 if i % 3 == 0 else "")) for i in range(400)] + [(None, "x"), (900, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    # the labels of held-out rows are turned round: had they taught, the score would suffer
+    spark.createDataFrame([(i, 1, int(i % 3 == 0) ^ (i in held)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.op8_compression_distance(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r["held_out"] and i != 900} == held and not got[None]["held_out"]
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got.values())
+    assert sum(got[i]["predicted"] == (i % 3 == 0) for i in range(400)) > 390
+
+
 def test_toxicity_rows(spark):
     rng = random.Random(6)
     rows = [(i, words_of(rng, 40) + (" nastyword" * 2 if i % 3 == 0 else "")) for i in range(200)] + [(None, None), (500, ""), (501, "x " * 20000), (3, "twin")]
@@ -148,8 +300,6 @@ def test_toxicity_rows(spark):
 
 
 def plain_base(t):
-    import re
-
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))

@@ -142,3 +142,55 @@ def test_nbest_rows(spark):
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     assert all(r["nbest_scores"] == [0.0] and r["n_pieces"] == 0 for r in got if r["doc_id"] in (0, 40))
     assert nbest.segment(docs(spark, [])).count() == 0
+
+
+def test_nbest_of_long_parts_and_small_stores(monkeypatch):
+    seg = nbest.segmenter()
+    got = seg.search("internationalization" * 2000)
+    assert len(got) == seg.n and got[0][0] >= got[-1][0]
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(40)) for _ in range(30)]
+    want = [seg.encode(*batch([t]))[2][0] for t in texts]
+    monkeypatch.setattr(nbest, "CACHE_PARTS", 120)
+    seg.clear()
+    for _ in range(2):  # the older half of the store goes again and again
+        for t, w in zip(texts, want, strict=True):
+            ids, _, scores, _, _ = seg.encode(*batch([t]))
+            assert scores[0] == pytest.approx(w) and seg.decode(ids).decode() == " " + t
+    seg.clear()
+
+
+def test_pieces_join_only_where_the_library_cuts():
+    rng = random.Random(2)
+    enc = tk.encoder()
+    parts = ["a", "b", " ", "  ", "é", "\xa0", "\u3000", "'s", "'", "!", "!!", "<|endoftext|>", "<|", "|>", "12", "\n", "日", "\x85", "\x1c", "…", "$", "\x7f", "-", "_"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(20)]
+        ids, ptr = enc.encode(*batch(texts))
+        for i, t in enumerate(texts):
+            assert ids[ptr[i] : ptr[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_shard_parts_are_read_alone(spark):
+    ws = Workspace(spark, "parts")
+    rows = [(i, " ".join(f"w{i} x{i * j}" for j in range(200))) for i in range(40)]
+    manifest = wavelet.write_shards(spark, docs(spark, rows).coalesce(1), ws, shard_tokens=1 << 20).collect()
+    shard, whole = wavelet.open_shard(ws.path("shards"), manifest[0]["file"]), wavelet.WaveletShard(wavelet.load_file(ws.path("shards"), manifest[0]["file"]))
+    ids = whole.decode()
+    assert (shard.decode() == ids).all() and [shard.access(i) for i in (0, 999, len(ids) - 1)] == ids[[0, 999, -1]].tolist()
+    assert shard.count(int(ids[5])) == (ids == ids[5]).sum() and shard.select(int(ids[5]), 0) == int(np.flatnonzero(ids == ids[5])[0])
+
+
+def test_store_needs_a_shared_folder(monkeypatch):
+    from ohmsieve.llm import store
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://there:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_root(Session())
+    assert store.free_names(["A", "_a"], "a", "b", "b") == ["__a", "b", "_b"]
