@@ -51,8 +51,8 @@ BLOCK_BYTES = 12 << 20
 FILTER_BITS = (24, 29)
 #: Least and most cells (as powers of 2, a byte each) of the table of frequency levels.
 LEVEL_BITS = (22, 26)
-#: Rows and bytes of sets that are compared at once.
-GROUP_ROWS, GROUP_BYTES = 128, 4 << 20
+#: Rows and bytes of sets that are compared at once, and pivots of a larger group.
+GROUP_ROWS, GROUP_BYTES, PIVOTS = 2048, 4 << 20, 128
 #: Sets of more shingles have over 10 ** 9 subsets each, which never costs less than scanning: their sizes are not counted.
 LIGHT_SIZES = 36
 #: Stands for a null doc_id inside packed blocks.
@@ -492,10 +492,10 @@ def links_within(ws: Workspace, sets: DataFrame, near: DataFrame) -> DataFrame:
     if size.filter("parts > 1").isEmpty():
         return links
     large = rows.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    # as many pivots as rows that are compared at once; they go to every part, so what moves grows with the rows
+    # pivots go to every part: far fewer than its rows, so what moves grows with the rows
     nth = F.row_number().over(Window.partitionBy("component").orderBy("_h", "doc_id"))
     pivots = large.select("component", "parts", "mean", "doc_id", F.xxhash64(F.lit(7), "doc_id").alias("_h")).withColumn("_k", nth)
-    pivots = pivots.filter((F.col("_k") <= GROUP_ROWS) & (F.col("_k") <= F.greatest(F.lit(1), F.lit(GROUP_BYTES) / (8 * F.col("mean")))))
+    pivots = pivots.filter((F.col("_k") <= PIVOTS) & (F.col("_k") <= F.greatest(F.lit(1), F.lit(GROUP_BYTES) / (8 * F.col("mean")))))
     pivots = ws.table("pivots", large.join(pivots.select("component", "doc_id"), ["component", "doc_id"], "left_semi").select("component", "doc_id", "sset", "parts").dropDuplicates(["component", "doc_id", "sset"]))
     dealt = large.select("component", "part", "doc_id", "sset", F.lit(False).alias("pivot"))
     dealt = dealt.unionByName(pivots.select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "sset", F.lit(True).alias("pivot")))
@@ -511,17 +511,30 @@ def links_within(ws: Workspace, sets: DataFrame, near: DataFrame) -> DataFrame:
     # rows near a pivot that they are not connected with meet the rows that it covers, part by part
     visits = first.filter("kind = 2").select("component", F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
     if not visits.isEmpty():
-        covered = first.filter("kind = 1").select("component", "part", F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
+        joined = ws.table("joined", connected(ws, "pivot", first.filter("kind = 0").select("a", "b")))
+        label = lambda name: joined.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}"))
+        visits = visits.join(label("doc_id"), "doc_id", "left").join(label("pivot"), "pivot", "left")
+        visits = ws.table("visits", visits.filter(F.coalesce("of_doc_id", "doc_id") != F.coalesce("of_pivot", "pivot")).select("component", "doc_id", "pivot"))
+    if not visits.isEmpty():
+        covered = first.filter("kind = 1").select("component", F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
         covered = covered.join(visits.select("component", "pivot").distinct(), ["component", "pivot"], "left_semi")
-        hosts = covered.join(large.select("component", "doc_id", "sset"), ["component", "doc_id"]).withColumn("guest", F.lit(False))
-        guests = visits.join(covered.select("component", "pivot", "part").distinct(), ["component", "pivot"])
-        guests = guests.join(large.select("component", "doc_id", "sset"), ["component", "doc_id"]).withColumn("guest", F.lit(True))
+        of = ["component", "pivot"]
+        bodies = large.select("component", "doc_id", "n", "sset")
+        hosts = ws.table("hosts", covered.join(bodies, ["component", "doc_id"]))
+        guests = ws.table("guests", visits.join(covered.select(*of).distinct(), of, "left_semi").join(bodies, ["component", "doc_id"]))
+        count = lambda rows, name: rows.groupBy(*of).agg(several(F.count(F.lit(1)), F.sum("n")).alias(name))
+        size = count(hosts, "hs").join(count(guests, "gs"), of)
+        mine = lambda name: F.pmod(F.xxhash64("doc_id"), F.col(name)).cast("int")
+        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        # parts of the hosts meet parts of the guests
+        hosts = hosts.join(size, of).select(*of, mine("hs").alias("i"), every("gs").alias("j"), "doc_id", "sset", F.lit(False).alias("guest"))
+        guests = guests.join(size, of).select(*of, every("hs").alias("i"), mine("gs").alias("j"), "doc_id", "sset", F.lit(True).alias("guest"))
 
         def meet(table: pa.Table) -> pa.Table:
             edges = guest_links(table.column("doc_id").to_numpy(), table.column("sset").to_pylist(), table.column("guest").to_numpy())
             return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-        links = links.unionByName(hosts.unionByName(guests).groupBy("component", "pivot", "part").applyInArrow(meet, "a long, b long"))
+        links = links.unionByName(hosts.unionByName(guests).groupBy(*of, "i", "j").applyInArrow(meet, "a long, b long"))
     # rows that no pivot covers
     alone = first.filter("kind = 3").select("component", F.col("a").alias("doc_id")).distinct()
     if not alone.isEmpty():
@@ -589,7 +602,7 @@ def similar(docs: DataFrame) -> DataFrame:
         least = ws.table("least", both.groupBy("doc_id").agg(F.min("rep").alias("least")))
         links = links.unionByName(both.join(least, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     comps = ws.table("comps", connected(ws, "comp", ws.table("links", links)))
-    ws.drop("sets", "near", "stars", "groups", "links", "parts", "ids", "chosen", "pivots", "round", "alone")
+    ws.drop("sets", "near", "stars", "groups", "links", "parts", "ids", "chosen", "pivots", "round", "alone", "hosts", "guests", "visits", "joined")
     named = classes.join(comps, classes["rep"] == comps["id"], "left").select("n", "sign_a", "sign_b", F.coalesce("component", "rep").alias("component"))
     named = ws.table("named", named)
     rows = info.join(named, ["n", "sign_a", "sign_b"], "left")
