@@ -13,8 +13,8 @@ shingles occur in another row, so shingle hashes are first counted in packed
 blocks and only sets that pass go on.  Lists yield stars, never all pairs, and
 of what a batch of sets adds to a list only its first row leaves the batch.
 
-Rows whose lists meet are a group.  A small group is compared in one task.  The
-rows of a large one are compared with a few pivots, part by part; as the
+Rows whose lists meet are a group.  A group of a few parts is compared part by
+part.  The rows of a larger one are compared with a few pivots; as the
 Jaccard distance obeys the triangle inequality, a row that is linked to a pivot
 can only be linked to rows within twice the distance of that pivot, so only
 rows near a pivot that are not yet connected to it go on to the rows it covers,
@@ -51,8 +51,8 @@ BLOCK_BYTES = 12 << 20
 FILTER_BITS = (24, 29)
 #: Least and most cells (as powers of 2, a byte each) of the table of frequency levels.
 LEVEL_BITS = (22, 26)
-#: Rows and bytes of sets that are compared at once, and pivots of a larger group.
-GROUP_ROWS, GROUP_BYTES, PIVOTS = 2048, 4 << 20, 128
+#: Rows and bytes of sets that make a part of a group, the parts of a group that are all compared with each other, and pivots of a larger one.
+GROUP_ROWS, GROUP_BYTES, DIRECT_PARTS, PIVOTS = 2048, 4 << 20, 16, 128
 #: Sets of more shingles have over 10 ** 9 subsets each, which never costs less than scanning: their sizes are not counted.
 LIGHT_SIZES = 36
 #: Stands for a null doc_id inside packed blocks.
@@ -487,11 +487,11 @@ def links_within(ws: Workspace, sets: DataFrame, near: DataFrame) -> DataFrame:
     rows = ws.table("near", sets.join(near, sets["doc_id"] == near["id"]).select("doc_id", "n", "component", "sset"))
     several = lambda n, values: F.greatest(F.lit(1), F.ceil(n / GROUP_ROWS), F.ceil(values * 8 / GROUP_BYTES)).cast("int")
     size = ws.table("parts", rows.groupBy("component").agg(several(F.count(F.lit(1)), F.sum("n")).alias("parts"), F.ceil(F.avg("n")).alias("mean")))
-    rows = rows.join(size, "component")
-    links = all_links(rows.filter("parts = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}))
-    if size.filter("parts > 1").isEmpty():
+    rows = rows.join(size, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    links = all_links(rows.filter(F.col("parts") <= DIRECT_PARTS))
+    if size.filter(F.col("parts") > DIRECT_PARTS).isEmpty():
         return links
-    large = rows.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    large = rows.filter(F.col("parts") > DIRECT_PARTS)
     # pivots go to every part: far fewer than its rows, so what moves grows with the rows
     nth = F.row_number().over(Window.partitionBy("component").orderBy("_h", "doc_id"))
     pivots = large.select("component", "parts", "mean", "doc_id", F.xxhash64(F.lit(7), "doc_id").alias("_h")).withColumn("_k", nth)
@@ -540,14 +540,13 @@ def links_within(ws: Workspace, sets: DataFrame, near: DataFrame) -> DataFrame:
     if not alone.isEmpty():
         rest = ws.table("alone", large.join(alone, ["component", "doc_id"], "left_semi").select("component", "doc_id", "n", "sset"))
         size = rest.groupBy("component").agg(several(F.count(F.lit(1)), F.sum("n")).alias("parts"))
-        part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-        rest = rest.join(size, "component").withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        links = links.unionByName(all_links(rest.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")})))
+        links = links.unionByName(all_links(rest.join(size, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))))
     return links
 
 
 def all_links(rows: DataFrame) -> DataFrame:
-    """Links that span the linked rows with the same (component, i, j)."""
+    """Links that span the linked rows of each component: each of its ``parts`` meets each."""
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")})
 
     def compare(table: pa.Table) -> pa.Table:
         edges = forest(table.column("doc_id").to_numpy(), table.column("sset").to_pylist())

@@ -65,7 +65,6 @@ def test_join_against_brute_force(spark, seed, small):
 
 def test_join_large_group_in_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 7)
-    monkeypatch.setattr(jaccard, "PIVOTS", 5)
     rng = random.Random(5)
     base = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
     rows = []
@@ -100,6 +99,7 @@ def steps_of(seed):
 def test_join_pivots_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 6)
     monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "DIRECT_PARTS", 1)
     monkeypatch.setattr(jaccard, "FILTER_BITS", (4, 3))  # rows meet the ids that go on in a join
     rows = steps_of(seed)
     want = plain_components(plain_sets(rows))
