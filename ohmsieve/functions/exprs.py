@@ -106,11 +106,14 @@ def pattern(cols: Sequence[Column]) -> Column:
 
 
 def row_min(cols: Sequence[Column]) -> Column:
-    return F.array_min(F.array(*[finite(c) for c in cols]))
+    """The least finite value; ``least`` skips NULL and needs no array."""
+    some = [finite(c) for c in cols]
+    return F.least(*some) if len(some) > 1 else some[0]
 
 
 def row_max(cols: Sequence[Column]) -> Column:
-    return F.array_max(F.array(*[finite(c) for c in cols]))
+    some = [finite(c) for c in cols]
+    return F.greatest(*some) if len(some) > 1 else some[0]
 
 
 def row_mean(cols: Sequence[Column]) -> Column:
@@ -129,7 +132,11 @@ def curve_index(x: Column, n: int) -> Column:
 
 
 def pick(values: Sequence[Column], index: Column) -> Column:
-    return F.get(F.array(*values), index)
+    """The value with a number from 0; NULL for a number outside."""
+    out = F.when(index == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(index == i, v)
+    return out
 
 
 def pair_count(xs: Sequence[Column], ys: Sequence[Column]) -> Column:
@@ -148,23 +155,25 @@ def slopes(xs: Sequence[Column], ys: Sequence[Column]) -> list[Column]:
     return out
 
 
+def paired(xs: Sequence[Column], ys: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """The points whose two values are finite; NULL in both for the others."""
+    ok = [fin(a) & fin(b) for a, b in zip(xs, ys, strict=True)]
+    return [F.when(p, a) for p, a in zip(ok, xs, strict=True)], [F.when(p, b) for p, b in zip(ok, ys, strict=True)]
+
+
 def interpolate(x: Column, xs: Sequence[Column], ys: Sequence[Column]) -> Column:
-    """The curve's value at x: the first segment that holds x, else the end value beyond the range, else NULL.
+    """The value at x (finite or NULL) of a curve of :func:`paired` points: the first segment that holds x, else the end value beyond the range, else NULL.
 
     Below the smaller end the first point's value is taken and above the
     larger end the last point's, also for falling curves.
     """
-    ok = [fin(a) & fin(b) for a, b in zip(xs, ys, strict=True)]
     parts = []
     for i in range(len(xs) - 1):
         a, b, dx = xs[i], xs[i + 1], xs[i + 1] - xs[i]
-        holds = ok[i] & ok[i + 1] & (F.abs(dx) > EPSILON) & (((x >= a) & (x <= b)) | ((x >= b) & (x <= a)))
-        parts.append(F.when(flag(fin(x) & holds), ys[i] + (x - a) / dx * (ys[i + 1] - ys[i])))
-    ahead, back = list(zip(ok, xs, ys, strict=True)), list(zip(ok, xs, ys, strict=True))[::-1]
-    first_x, first_y = (F.coalesce(*[F.when(t[0], t[k]) for t in ahead]) for k in (1, 2))
-    last_x, last_y = (F.coalesce(*[F.when(t[0], t[k]) for t in back]) for k in (1, 2))
-    low = F.when(flag(fin(x) & (x <= F.least(first_x, last_x))), first_y)
-    high = F.when(flag(fin(x) & (x >= F.greatest(first_x, last_x))), last_y)
+        parts.append(F.when((F.abs(dx) > EPSILON) & (((x >= a) & (x <= b)) | ((x >= b) & (x <= a))), ys[i] + (x - a) / dx * (ys[i + 1] - ys[i])))
+    (first_x, first_y), (last_x, last_y) = ((F.coalesce(*xs[::d]), F.coalesce(*ys[::d])) for d in (1, -1))
+    low = F.when(x <= F.least(first_x, last_x), first_y)
+    high = F.when(x >= F.greatest(first_x, last_x), last_y)
     return F.coalesce(*parts, low, high)
 
 

@@ -1,9 +1,11 @@
 """Feature families as column expressions, and the feature frame.
 
 A family is a function from a :class:`Raw` accessor to ``{name: Column}``.
-The frame is made of three projections: shared quantities, the families, and
-the rule aggregates that read them.  Asking for some families plans only
-those.
+Quantities that several expressions read (percentages, curve numbers, the
+points of the selected curve, what is interpolated) are named by
+:meth:`Raw.once` and computed in projections of their own, level by level, so
+that no expression repeats them.  Then come the families, and the rule
+aggregates that read them.  Asking for some families plans only those.
 """
 
 from __future__ import annotations
@@ -26,11 +28,25 @@ ONE = E.dbl
 Family = dict[str, Column]
 
 
+#: Projections of shared quantities before the families'.
+LEVELS = 4
+
+
 class Raw:
     """Columns of a normalised table by raw name; a column that the table lacks is NULL."""
 
     def __init__(self, columns: Iterable[str]):
         self.have = set(columns)
+        self.wanted: list[dict[str, Column]] = [{} for _ in range(LEVELS)]
+
+    def once(self, level: int, name: str, make: Callable[[], Column]) -> Column:
+        """A shared quantity: its column where the table has it already, else its expression, which is noted for that level."""
+        key = f"_once_{name}"
+        if key in self.have:
+            return F.col(key)
+        if key not in self.wanted[level]:
+            self.wanted[level][key] = make()
+        return self.wanted[level][key]
 
     def __call__(self, name: str) -> Column:
         s = S.safe(name)
@@ -184,15 +200,15 @@ def capacity(r: Raw) -> Family:
 
 
 def voltage_pct(r: Raw) -> Column:
-    return ONE(100) * E.sdiv(r.ac("LLV"), r.cap("VNom"))
+    return r.once(0, "voltage_pct", lambda: ONE(100) * E.sdiv(r.ac("LLV"), r.cap("VNom")))
 
 
 def w_pct(r: Raw) -> Column:
-    return ONE(100) * E.sdiv(r.ac("W"), r.cap("WMaxRtg"))
+    return r.once(0, "w_pct", lambda: ONE(100) * E.sdiv(r.ac("W"), r.cap("WMaxRtg")))
 
 
 def reactive_pct(r: Raw) -> Column:
-    return E.var_pct(r.ac("Var"), r.cap("VarMaxInj"), r.cap("VarMaxAbs"))
+    return r.once(0, "reactive_pct", lambda: E.var_pct(r.ac("Var"), r.cap("VarMaxInj"), r.cap("VarMaxAbs")))
 
 
 def percentages(r: Raw) -> Family:
@@ -228,22 +244,24 @@ def power_factor(r: Raw) -> Family:
 
 def trip(r: Raw, short: str) -> Family:
     prefix, axis, side = S.TRIPS[short]
-    index = E.curve_index(r(f"{prefix}.AdptCrvRslt"), 2)
-    points = lambda g, f: [E.pick([r(f"{prefix}.Crv[{c}].{g}.Pt[{p}].{f}") for c in range(2)], index) for p in range(5)]
+    index = r.once(0, f"{short}_index", lambda: E.curve_index(r(f"{prefix}.AdptCrvRslt"), 2))
+    points = lambda g, f: [r.once(1, f"{short}_{g}_{f}_{p}", lambda p=p: E.pick([r(f"{prefix}.Crv[{c}].{g}.Pt[{p}].{f}") for c in range(2)], index)) for p in range(5)]
+    ends = lambda name, xs: (r.once(2, f"{short}_{name}_min", lambda: E.row_min(xs)), r.once(2, f"{short}_{name}_max", lambda: E.row_max(xs)))
     act = lambda g: E.pick([r(f"{prefix}.Crv[{c}].{g}.ActPt") for c in range(2)], index)
     must_x, must_t, mom_x, mom_t = points("MustTrip", axis), points("MustTrip", "Tms"), points("MomCess", axis), points("MomCess", "Tms")
     may = [r(f"{prefix}.Crv[{c}].MayTrip.Pt[{p}].{axis}") for c in range(2) for p in range(5)]
     measure = voltage_pct(r) if axis == "V" else r.ac("Hz")
     on = E.nz(r(f"{prefix}.Ena")) > 0
-    margin = measure - E.row_max(must_x) if side == "low" else E.row_min(must_x) - measure
+    (must_low, must_high), (mom_low, mom_high) = ends("must", must_x), ends("mom", mom_x)
+    margin = measure - must_high if side == "low" else must_low - measure
     outside = on & E.flag(E.fin(margin) & (margin < 0))
     power = outside & E.flag(F.abs(r.ac("W")) > E.tolerance(50, 0.02, r.cap("WMaxRtg")))
     n_must, n_mom = E.pair_count(must_x, must_t), E.pair_count(mom_x, mom_t)
     out = {
         "curve_idx": index, "enabled": on.cast("int"), "curve_req_gap": r(f"{prefix}.AdptCrvReq") - r(f"{prefix}.AdptCrvRslt"),
-        "musttrip_count": n_must, "musttrip_actpt_gap": act("MustTrip") - n_must, "musttrip_axis_min": E.row_min(must_x), "musttrip_axis_max": E.row_max(must_x), "musttrip_axis_span": E.spread(must_x), "musttrip_tms_span": E.spread(must_t), "musttrip_reverse_steps": E.reverse_steps(must_x),
-        "momcess_count": n_mom, "momcess_actpt_gap": act("MomCess") - n_mom, "momcess_axis_span": E.spread(mom_x), "momcess_tms_span": E.spread(mom_t), "momcess_reverse_steps": E.reverse_steps(mom_x),
-        "maytrip_present_any": E.any_of([E.fin(c) for c in may]).cast("int"), "musttrip_margin": margin, "outside_musttrip": outside.cast("int"), "power_when_outside": power.cast("int"), "momcess_musttrip_gap": F.abs(E.row_min(mom_x) - E.row_max(must_x)),
+        "musttrip_count": n_must, "musttrip_actpt_gap": act("MustTrip") - n_must, "musttrip_axis_min": must_low, "musttrip_axis_max": must_high, "musttrip_axis_span": must_high - must_low, "musttrip_tms_span": E.spread(must_t), "musttrip_reverse_steps": E.reverse_steps(must_x),
+        "momcess_count": n_mom, "momcess_actpt_gap": act("MomCess") - n_mom, "momcess_axis_span": mom_high - mom_low, "momcess_tms_span": E.spread(mom_t), "momcess_reverse_steps": E.reverse_steps(mom_x),
+        "maytrip_present_any": E.any_of([E.fin(c) for c in may]).cast("int"), "musttrip_margin": margin, "outside_musttrip": outside.cast("int"), "power_when_outside": power.cast("int"), "momcess_musttrip_gap": F.abs(mom_low - must_high),
     }
     return {f"trip_{short}_{k}": c for k, c in out.items()}
 
@@ -251,12 +269,11 @@ def trip(r: Raw, short: str) -> Family:
 def trip_any(r: Raw) -> Family:
     """The two flags over all blocks, from each block's nearest limit only."""
     outside = []
-    for prefix, axis, side in S.TRIPS.values():
-        index = E.curve_index(r(f"{prefix}.AdptCrvRslt"), 2)
-        limits = F.get(F.array(*[F.array(*[r(f"{prefix}.Crv[{c}].MustTrip.Pt[{p}].{axis}") for p in range(5)]) for c in range(2)]), index)
-        known = F.filter(limits, E.fin)
+    for short, (prefix, axis, side) in S.TRIPS.items():
+        index = r.once(0, f"{short}_index", lambda prefix=prefix: E.curve_index(r(f"{prefix}.AdptCrvRslt"), 2))
+        limits = [r.once(1, f"{short}_MustTrip_{axis}_{p}", lambda p=p, index=index, prefix=prefix, axis=axis: E.pick([r(f"{prefix}.Crv[{c}].MustTrip.Pt[{p}].{axis}") for c in range(2)], index)) for p in range(5)]
         measure = voltage_pct(r) if axis == "V" else r.ac("Hz")
-        margin = measure - F.array_max(known) if side == "low" else F.array_min(known) - measure
+        margin = measure - E.row_max(limits) if side == "low" else E.row_min(limits) - measure
         outside.append((E.nz(r(f"{prefix}.Ena")) > 0) & E.flag(E.fin(margin) & (margin < 0)))
     busy = E.flag(F.abs(r.ac("W")) > E.tolerance(50, 0.02, r.cap("WMaxRtg")))
     return {"trip_any_outside_musttrip": E.any_of(outside).cast("int"), "trip_any_power_when_outside": (E.any_of(outside) & busy).cast("int")}
@@ -271,16 +288,20 @@ def trips(r: Raw) -> Family:
 
 def curve(r: Raw, name: str) -> Family:
     prefix, n, xf, yf, meta = S.CURVES[name]
-    index = E.curve_index(r(f"{prefix}.AdptCrvRslt"), 3)
-    of = lambda f: E.pick([r(f"{prefix}.Crv[{c}].{f}") for c in range(3)], index)
+    index = r.once(0, f"{name}_index", lambda: E.curve_index(r(f"{prefix}.AdptCrvRslt"), 3))
+    of = lambda f: r.once(1, f"{name}_{S.safe(f)}", lambda: E.pick([r(f"{prefix}.Crv[{c}].{f}") for c in range(3)], index))
     xs, ys = ([of(f"Pt[{p}].{f}") for p in range(n)] for f in (xf, yf))
     v, w, q = voltage_pct(r), w_pct(r), reactive_pct(r)
     # the reference voltage of the first curve counts, whichever curve is selected
     measure, observed = {"voltvar": (v - ONE(100) + F.coalesce(r(f"{prefix}.Crv[0].VRef"), ONE(100)), q), "voltwatt": (v, w), "wattvar": (w, q)}[name]
-    count, steep, expected = E.pair_count(xs, ys), E.slopes(xs, ys), E.interpolate(measure, xs, ys)
+    count, steep = E.pair_count(xs, ys), E.slopes(xs, ys)
+    on_x, on_y = E.paired(xs, ys)
+    on_x, on_y = ([r.once(2, f"{name}_on_{k}{i}", lambda c=c: c) for i, c in enumerate(cs)] for k, cs in (("x", on_x), ("y", on_y)))
+    expected = r.once(3, f"{name}_expected", lambda: E.interpolate(r.once(2, f"{name}_at", lambda: E.finite(measure)), on_x, on_y))
+    low, high = r.once(2, f"{name}_min", lambda: E.row_min(xs)), r.once(2, f"{name}_max", lambda: E.row_max(xs))
     out = {
-        "idx": index, "point_count": count, "actpt_gap": of("ActPt") - count, "x_span": E.spread(xs), "y_span": E.spread(ys), "reverse_steps": E.reverse_steps(xs),
-        "mean_slope": E.row_mean(steep), "max_abs_slope": E.row_max([F.abs(s) for s in steep]), "measure_margin_low": measure - E.row_min(xs), "measure_margin_high": E.row_max(xs) - measure,
+        "idx": index, "point_count": count, "actpt_gap": of("ActPt") - count, "x_span": high - low, "y_span": E.spread(ys), "reverse_steps": E.reverse_steps(xs),
+        "mean_slope": E.row_mean(steep), "max_abs_slope": E.row_max([F.abs(s) for s in steep]), "measure_margin_low": measure - low, "measure_margin_high": high - measure,
         "expected": expected, "error": observed - expected,
     } | {k: of(f) for k, f in meta.items()}
     return {f"{name}_curve_{k}": c for k, c in out.items()}
@@ -292,10 +313,11 @@ def curves(r: Raw) -> Family:
 
 def droop(r: Raw) -> Family:
     every = {f: [r(f"DERFreqDroop[0].Ctl[{c}].{f}") for c in range(3)] for f in S.DROOP_CTL}
-    index = E.curve_index(r("DERFreqDroop[0].AdptCtlRslt"), 3)
-    d = {f: E.pick(cols, index) for f, cols in every.items()}
+    index = r.once(0, "droop_index", lambda: E.curve_index(r("DERFreqDroop[0].AdptCtlRslt"), 3))
+    d = {f: r.once(1, f"droop_{f}", lambda cols=cols: E.pick(cols, index)) for f, cols in every.items()}
     hz = r.ac("Hz")
-    over, under = E.clamp0(hz - (ONE(60) + d["DbOf"])), E.clamp0((ONE(60) - d["DbUf"]) - hz)
+    over = r.once(2, "droop_over", lambda: E.clamp0(hz - (ONE(60) + d["DbOf"])))
+    under = r.once(2, "droop_under", lambda: E.clamp0((ONE(60) - d["DbUf"]) - hz))
     out = {
         "ctl_idx": index, "dbof": d["DbOf"], "dbuf": d["DbUf"], "kof": d["KOf"], "kuf": d["KUf"], "rsp": d["RspTms"], "pmin": d["PMin"], "readonly": d["ReadOnly"],
         "deadband_width": d["DbOf"] + d["DbUf"], "over_activation": over, "under_activation": under, "expected_delta_pct": ONE(100) * E.sdiv(over, d["KOf"]) - ONE(100) * E.sdiv(under, d["KUf"]),
@@ -326,16 +348,40 @@ FAMILIES: dict[str, Callable[[Raw], Family]] = {
 }
 
 
+#: Families that read shared quantities.
+LAYERED = ("percentages", "enter_service", "power_factor", "trips", "trip_any", "curves", "droop")
+
+
+def layered(df: DataFrame, build: Callable[[Raw], object]) -> DataFrame:
+    """``df`` and the shared quantities that ``build`` asks for, each level in a projection of its own."""
+    for level in range(LEVELS):
+        r = Raw(df.columns)
+        build(r)
+        if r.wanted[level]:
+            df = df.select("*", *[c.alias(k) for k, c in r.wanted[level].items()])
+    return df
+
+
+def planned(df: DataFrame, build: Callable[[Raw], Family], keys: Iterable[str] = ("Id",), only: Iterable[str] | None = None) -> DataFrame:
+    """The key columns and what ``build`` makes, or some of it."""
+    df = layered(df, build)
+    made = build(Raw(df.columns))
+    return df.select(*keys, *[made[k].alias(k) for k in (only or made)])
+
+
 def family_columns(df: DataFrame, *names: str, keys: tuple[str, ...] = ("Id",)) -> DataFrame:
     """Only some families, beside the key columns: a narrow plan."""
+    names = tuple(dict.fromkeys(names))
+    df = layered(df, lambda r: [FAMILIES[n](r) for n in names if n in LAYERED])
     r, out = Raw(df.columns), {}
-    for n in dict.fromkeys(names):
+    for n in names:
         out |= FAMILIES[n](r)
     return df.select(*keys, *[c.alias(k) for k, c in out.items()])
 
 
-def feature_frame(df: DataFrame, active: list[str] | None = None) -> DataFrame:
-    """All features and the rule aggregates; ``Label`` is kept where there is one."""
+def feature_frame(df: DataFrame, active: list[str] | None = None, families: Iterable[str] | None = None) -> DataFrame:
+    """All features and the rule aggregates, or those of some families with all that the rules need; ``Label`` is kept where there is one."""
     keys = ("Id", "Label") if "Label" in df.columns else ("Id",)
-    out = family_columns(df, *(n for n in FAMILIES if n != "trip_any"), keys=keys)  # "trips" has those columns
+    names = [n for n in FAMILIES if n != "trip_any"] if families is None else [*families, *rules.NEEDS]  # "trips" has the columns of "trip_any"
+    out = family_columns(df, *names, keys=keys)
     return out.select("*", *[c.alias(k) for k, c in rules.aggregates(active).items()])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..sources.io import scratch_table
 
+# Targets with their scales, levels, fallbacks and the least quantile.
 #: Target: (observed column, column that scales its residual).
 TARGETS = {"w": ("DERMeasureAC_0_W", "DERCapacity_0_WMaxRtg"), "va": ("DERMeasureAC_0_VA", "DERCapacity_0_VAMaxRtg"), "var": ("DERMeasureAC_0_Var", "DERCapacity_0_VarMaxInjRtg"), "pf": ("DERMeasureAC_0_PF", None), "a": ("DERMeasureAC_0_A", "DERCapacity_0_AMaxRtg")}
 LEVELS = {"tail": 0.95, "extreme": 0.99, "ultra": 0.999}
 FALLBACK = {"tail": 0.05, "extreme": 0.10, "ultra": 0.20}
 FLOOR = 1e-6
+#: Bins of the histogram for each factor of e.
+BINS = 256
 
 
 def normal_rows() -> Column:
@@ -39,13 +43,39 @@ def residuals(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame) -> DataFrame:
-    """(device_family, <target>_<level>) exact interpolated quantiles of normal calibration rows, floored."""
-    rows = df.filter(normal_rows() & ~fits())
+    """(device_family, <target>_<level>) exact interpolated quantiles of normal calibration rows, floored.
+
+    No aggregate holds all values: a histogram over bins of equal ratio tells
+    which bins have the ranks that a quantile lies between, and only the distinct
+    values in those bins are counted.
+    """
+    seen = {t: F.col(f"abs_norm_resid_{t}") for t in TARGETS}
+    rows = scratch_table(df.filter(normal_rows() & ~fits()).select("device_family", *[E.finite(c).alias(t) for t, c in seen.items()]), "residuals")
+    cells = rows.select("device_family", F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("x")) for t in TARGETS]))).filter("x IS NOT NULL")
+    cells = cells.withColumn("bin", F.when(F.col("x") > 0, F.floor(F.log("x") * BINS)).otherwise(-(10**9)).cast("int"))
+    of = ["device_family", "target"]
+    upto = Window.partitionBy(*of).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = cells.groupBy(*of, "bin").agg(F.count(F.lit(1)).alias("c"))
+    hist = hist.select(*of, "bin", "c", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(*of)).alias("n"))
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), E.dbl(q).alias("q")) for k, q in LEVELS.items()])).alias("l")
+    place = hist.select("*", level).select("*", "l.*").withColumn("at", (F.col("n") - 1) * F.col("q"))
+    side = F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.floor("at").alias("rank")), F.struct(F.lit("hi").alias("side"), F.ceil("at").alias("rank")))).alias("s")
+    want = place.select("*", side).select(*of, "bin", "level", "before", "c", "at", "s.*").filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
+    want = scratch_table(want.select(*of, "bin", "level", "side", "at", "rank", (F.col("rank") - F.col("before")).alias("inside")), "ranks")  # 30 rows a family
+    found = cells.join(F.broadcast(want.select(*of, "bin").distinct()), [*of, "bin"], "left_semi").groupBy(*of, "bin", "x").agg(F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy(*of, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("end", F.sum("c").over(run))
+    got = found.join(F.broadcast(want), [*of, "bin"]).filter((F.col("inside") < F.col("end")) & (F.col("inside") >= F.col("end") - F.col("c")))
+    pick = lambda t, k, s: F.max(F.when((F.col("target") == t) & (F.col("level") == k) & (F.col("side") == s), F.col("x")))
+    part = lambda t, k: F.max(F.when((F.col("target") == t) & (F.col("level") == k), F.col("at") - F.floor("at")))
     aggs = []
     for t in TARGETS:
-        q = F.percentile(E.finite(F.col(f"abs_norm_resid_{t}")), F.array(*map(E.dbl, LEVELS.values())))
-        aggs += [F.greatest(F.coalesce(q[i], E.dbl(FALLBACK[k])), E.dbl(FLOOR)).alias(f"{t}_{k}") for i, k in enumerate(LEVELS)]
-    return rows.groupBy("device_family").agg(*aggs)
+        for k in LEVELS:
+            lo, hi = pick(t, k, "lo"), pick(t, k, "hi")
+            aggs.append((lo + (hi - lo) * part(t, k)).alias(f"{t}_{k}"))
+    values = got.groupBy("device_family").agg(*aggs)
+    every = rows.select("device_family").distinct().join(values, "device_family", "left")
+    return every.select("device_family", *[F.greatest(F.coalesce(f"{t}_{k}", E.dbl(FALLBACK[k])), E.dbl(FLOOR)).alias(f"{t}_{k}") for t in TARGETS for k in LEVELS])
 
 
 def curve_mode(enabled: str, expected: str) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..sources.io import scratch_table
 
+# Smoothing, folds, support, fills, and the bins with their scales.
 SMOOTHING = 50.0
 FOLDS = 5
 LOW_SUPPORT = 20
@@ -31,8 +33,9 @@ def bins(df: DataFrame) -> DataFrame:
 
 
 def hash_fold(cols: tuple[str, ...], folds: int = FOLDS) -> Column:
-    """A fold that all rows of one scenario share."""
-    return F.pmod(F.xxhash64(*cols), F.lit(folds)).cast("int")
+    """A fold that all rows of one scenario share: by the md5 of its key, which other engines compute alike."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % folds).cast("int")
 
 
 def smoothed(total: Column, n: Column, prior: Column) -> Column:
@@ -62,9 +65,12 @@ def leave_fold_out(df: DataFrame, keys: tuple[str, ...], fold: Column) -> DataFr
 def out_of_fold(df: DataFrame, which: tuple[str, ...] = ("scenario", "scenario_output")) -> DataFrame:
     """Training rows (binned, with Id and Label) with encodings whose sums leave out the row's own fold.
 
-    The prior is the family's rate over all training rows, the row's own fold included.
+    The prior is the family's rate over all training rows, the row's own fold
+    included.  The rows are written once, for they are read once for each
+    aggregate and once for the result.
     """
     fold = F.pmod(F.col("Id"), F.lit(FOLDS)).cast("int")
+    df = scratch_table(df, "binned")
     out = df.withColumn("fold", fold).join(F.broadcast(family_rates(df)), "device_family")  # one row a family
     for prefix in which:
         out = out.join(leave_fold_out(df, KEYS[prefix], fold), [*KEYS[prefix], "fold"], "left")

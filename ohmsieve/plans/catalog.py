@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..sources import io
 from ..sources import schema as S
 from ..sources.telemetry import VIEW, as_sql, telemetry
 from . import models
+from .session import tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,9 +21,13 @@ SQL: dict[str, str] = {}
 AC, CAP, CTL, ES, DC = "DERMeasureAC_0_", "DERCapacity_0_", "DERCtlAC_0_", "DEREnterService_0_", "DERMeasureDC_0_"
 
 
+def register(name: str, f: Query) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(tuned(spark), sf_dir)
+
+
 def query(name: str, sql: str | None = None):
     def keep(f: Query) -> Query:
-        QUERIES[name] = f
+        register(name, f)
         if sql is not None:
             SQL[name] = sql
         return f
@@ -40,6 +43,13 @@ def over(select: str, more: str = "") -> str:
     return f"WITH t AS ({as_sql()}){more} {select}"
 
 
+def rowed(sql: str) -> str:
+    """A query over the view that joins its steps row by row: by a number of each row, for Ids may repeat."""
+    sql = sql.replace(f"WITH t AS ({as_sql()})", f"WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row_no, * FROM ({as_sql()}))")
+    head, _, tail = sql.partition("FROM lineitem))")
+    return head + "FROM lineitem))" + tail.replace("SELECT Id,", "SELECT row_no, Id,").replace("USING (Id)", "USING (row_no)")
+
+
 def cols(pairs: dict[str, str], keys: str = "Id", frm: str = "t") -> str:
     return f"SELECT {keys}, " + ", ".join(f"{x} AS {k}" for k, x in pairs.items()) + f" FROM {frm}"
 
@@ -100,15 +110,18 @@ QPCT = f"(100e0 * {q_div(VAR, f'(CASE WHEN {VAR} >= 0 THEN {INJ} ELSE {ABSM} END
 TOLW = q_tol(50, 0.02, RTG)
 
 
+FAMILY_SQL: dict[str, dict[str, str]] = {}
+
+
 def family_query(name: str, *families: str, sql: dict[str, str] | None = None, only: list[str] | None = None) -> None:
     """A query that shows feature families over the view."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = features.family_columns(telemetry(spark, sf_dir), *families)
-        return out.select("Id", *only) if only else out
+        return features.planned(telemetry(spark, sf_dir), lambda r: dict(x for n in families for x in features.FAMILIES[n](r).items()), only=only)
 
-    QUERIES[name] = run
+    register(name, run)
     if sql:
+        FAMILY_SQL[name] = sql
         SQL[name] = over(cols(sql))
 
 
@@ -139,19 +152,35 @@ def null_tokens(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", io.present(F.expr(TOKEN_CASE)).alias("priority"))
 
 
-@query("csv_roundtrip", over("SELECT Id, Label FROM t"))
+CSV = ["common[0].SN", "DERMeasureAC[0].W", "DERMeasureAC[0].ThrotSrc", "DERCapacity[0].VNom", "DERVoltVar[0].Crv[1].Pt[2].V"]
+
+
+@query("csv_roundtrip", over(f"SELECT Id, Label, {', '.join(S.safe(c) for c in CSV)} FROM t"))
 def csv_roundtrip(spark, d):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ohmsieve-")
-    path = f"{root.rstrip('/')}/ohmsieve-csv-{uuid.uuid4().hex}"
-    io.write_csv(telemetry(spark, d).select("Id", "Label"), path)
-    return spark.read.schema("Id long, Label int").option("header", True).csv(path)
+    """A labelled CSV with the whole header of the information model, written and scanned."""
+    path, t = io.scratch(spark, "csv"), telemetry(spark, d)
+    whole = [F.col(S.safe(c)).alias(c) if S.safe(c) in VIEW else F.lit(None).cast("string").alias(c) for c in S.SOURCE]
+    io.write_csv(t.select("Id", "Label", *whole), path)
+    return io.scan_csv(spark, path, columns=[S.safe(c) for c in CSV])
+
 
+HEX = lambda key, n: f"CAST(CAST('0x' || substr(md5({key}), 1, {n}) AS UBIGINT) AS HUGEINT)"
 
-@query("row_digest")
+
+@query("row_digest", over(f"SELECT count(*) AS rows, CAST(sum({HEX('Id || chr(124) || Label', 12)}) AS VARCHAR) AS digest FROM t"))
 def row_digest(spark, d):
     return io.row_digest(telemetry(spark, d), ["Id", "Label"])
 
 
+@query("observed_counts", over("SELECT count(*) AS rows, CAST(sum(Label) AS BIGINT) AS positives FROM t"))
+def observed_counts(spark, d):
+    """Counters that a write of the labels fills in on the way."""
+    counters = F.count(F.lit(1)).alias("rows"), F.sum(F.col("Label").cast("long")).alias("positives")
+    rows, seen = io.observed(telemetry(spark, d).select("Id", "Label"), "labels", *counters)
+    rows.write.parquet(io.scratch(spark, "observed"))
+    return spark.createDataFrame([(seen.get["rows"], seen.get["positives"])], "rows long, positives long")
+
+
 @query("union_frames", over("SELECT Id, 'canon10' AS part FROM t WHERE l = 0 UNION ALL SELECT Id, 'canon100' AS part FROM t WHERE l = 1").replace("WITH t AS (SELECT ", "WITH t AS (SELECT l_linenumber % 2 AS l, "))
 def union_frames(spark, d):
     t = telemetry(spark, d).select("Id", "common_0_Md")
@@ -313,11 +342,9 @@ def _curve_queries() -> None:
         SQL[q] = over(cols({k: out[k] for k in names}, frm="c"), cte)
 
         def run(spark, d, name=name, names=names):
-            t = telemetry(spark, d)
-            made = features.curve(features.Raw(t.columns), name)
-            return t.select("Id", *[made[k].alias(k) for k in names])
+            return features.planned(telemetry(spark, d), lambda r: features.curve(r, name), only=names)
 
-        QUERIES[q] = run
+        register(q, run)
 
 
 _curve_queries()
@@ -373,10 +400,9 @@ def _trip_queries() -> None:
         SQL[f"trip_block_{short}"] = over(cols(out, frm="c"), cte)
 
         def run(spark, d, short=short):
-            t = telemetry(spark, d)
-            return t.select("Id", *[c.alias(k) for k, c in features.trip(features.Raw(t.columns), short).items()])
+            return features.planned(telemetry(spark, d), lambda r: features.trip(r, short))
 
-        QUERIES[f"trip_block_{short}"] = run
+        register(f"trip_block_{short}", run)
 
 
 _trip_queries()
@@ -433,6 +459,15 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
     return features.family_columns(telemetry(spark, d), *rules.NEEDS, keys=("Id", "Label"))
 
 
+@query("family_table", over(f"SELECT Id, noncanonical, {AGG_SQL['hard_rule_count']} AS hard_rule_count FROM f WHERE device_family = 'canon100'", FLAGGED))
+def family_table(spark, d):
+    """Features written by family; reading one family leaves the others' files alone."""
+    path = io.scratch(spark, "families")
+    rows = flags(spark, d)
+    io.write_by_family(rows.select("Id", "device_family", "noncanonical", rules.aggregates()["hard_rule_count"].alias("hard_rule_count")), path)
+    return spark.read.parquet(path).filter("device_family = 'canon100'").select("Id", "noncanonical", "hard_rule_count")
+
+
 @query("rule_outputs", over(cols(AGG_SQL, frm="f"), FLAGGED))
 def rule_outputs(spark, d):
     return flags(spark, d).select("Id", *[c.alias(k) for k, c in rules.aggregates().items()])
@@ -468,11 +503,10 @@ def family_counts(spark, d):
 
 
 def binned(spark: SparkSession, d: str) -> DataFrame:
-    t = telemetry(spark, d)
-    r = features.Raw(t.columns)
-    more = features.identity(r) | features.percentages(r) | features.power_factor(r)
-    more |= {k: c for k, c in (features.enter_service(r) | features.droop(r)).items() if k in ("enter_service_should_idle", "freqdroop_outside_deadband")}
-    return scenario.bins(t.select("Id", "Label", *[c for c in VIEW if c in {x[0] for x in (scenario.STATE | scenario.OUTPUT).values()}], *[c.alias(k) for k, c in more.items()]))
+    used = {x[0] for x in (scenario.STATE | scenario.OUTPUT).values()} | {"device_family"}
+    build = lambda r: {k: c for f in (features.identity, features.percentages, features.power_factor, features.enter_service, features.droop) for k, c in f(r).items() if k in used}
+    rows = features.planned(telemetry(spark, d), build, keys=("Id", "Label", *(c for c in VIEW if c in used)))
+    return scenario.bins(rows).select("Id", "Label", *scenario.KEYS["scenario_output"])
 
 
 DROOPED = droop_sql()
@@ -527,8 +561,8 @@ RATE = "(total + 50e0 * prior) / (n + 50e0)"
 ENC = f"{RATE} AS scenario_rate, {RATE} - prior AS scenario_rate_delta, n AS scenario_count, round(ln(1 + n), 9) AS scenario_log_count, CAST(n < 20 AS INTEGER) AS scenario_low_support"
 
 
-def shown(df: DataFrame) -> DataFrame:
-    return df.select("Id", "scenario_rate", "scenario_rate_delta", "scenario_count", F.round("scenario_log_count", 9).alias("scenario_log_count"), "scenario_low_support")
+def shown(df: DataFrame, prefix: str = "scenario") -> DataFrame:
+    return df.select("Id", *[F.round(f"{prefix}_{k}", 9).alias(f"{prefix}_{k}") if k == "log_count" else f"{prefix}_{k}" for k in ("rate", "rate_delta", "count", "log_count", "low_support")])
 
 
 @query("scenario_oof", over(f"SELECT Id, {ENC} FROM r", f"{BINNED}, {PRIOR}, {G}, {OOF}"))
@@ -536,7 +570,22 @@ def scenario_oof(spark, d):
     return shown(scenario.out_of_fold(binned(spark, d), ("scenario",)))
 
 
-APPLY = f"tr AS (SELECT * FROM s WHERE Id % 3 <> 0), p AS (SELECT device_family, sum(Label) / count(*) AS prior FROM tr GROUP BY device_family), m AS (SELECT avg(prior) AS rest FROM p), h AS (SELECT {K}, sum(Label) AS total, count(*) AS n FROM tr GROUP BY ALL), r AS (SELECT s.Id, coalesce(p.prior, m.rest, 5e-1) AS prior, CAST(coalesce(h.total, 0) AS BIGINT) AS total, CAST(coalesce(h.n, 0) AS BIGINT) AS n FROM s CROSS JOIN m LEFT JOIN p USING (device_family) LEFT JOIN h ON (" + " AND ".join(f"s.{k} = h.{k}" for k in scenario.KEYS["scenario"]) + ") WHERE s.Id % 3 = 0)"
+def by_output(sql: str) -> str:
+    """The SQL of an encoding, by the keys that have the output bins too."""
+    more = scenario.KEYS["scenario_output"][len(scenario.KEYS["scenario"]) :]
+    last = scenario.KEYS["scenario"][-1]
+    sql = sql.replace(K, ", ".join(scenario.KEYS["scenario_output"])).replace(" AS scenario_", " AS scenario_output_")
+    for side in ("g", "w", "h"):
+        sql = sql.replace(f"s.{last} = {side}.{last}", " AND ".join(f"s.{k} = {side}.{k}" for k in (last, *more)))
+    return sql
+
+
+@query("scenario_output_oof", over(f"SELECT Id, {by_output(ENC)} FROM r", f"{BINNED}, {PRIOR}, {by_output(G)}, {by_output(OOF)}"))
+def scenario_output_oof(spark, d):
+    return shown(scenario.out_of_fold(binned(spark, d), ("scenario_output",)), "scenario_output")
+
+
+APPLY = f"tr AS (SELECT * FROM s WHERE Id % 3 <> 0), p AS (SELECT device_family, sum(Label) / count(*) AS prior FROM tr GROUP BY device_family), m AS (SELECT avg(prior) AS rest FROM p), h AS (SELECT {K}, sum(Label) AS total, count(*) AS n FROM tr GROUP BY ALL), r AS (SELECT s.Id, coalesce(p.prior, m.rest, 5e-1) AS prior, CAST(coalesce(h.total, 0) AS BIGINT) AS total, CAST(coalesce(h.n, 0) AS BIGINT) AS n FROM s CROSS JOIN m LEFT JOIN p USING (device_family) LEFT JOIN h ON (" + " AND ".join(f"s.{k} = h.{k}" for k in scenario.KEYS["scenario"]) + "))"
 
 
 @query("scenario_apply", over(f"SELECT Id, {ENC} FROM r", f"{BINNED}, {APPLY}"))
@@ -544,10 +593,21 @@ def scenario_apply(spark, d):
     b = binned(spark, d)
     train = b.filter("Id % 3 <> 0")
     learned = {"scenario": scenario.stats(train, scenario.KEYS["scenario"])}
-    return shown(scenario.applied(b.filter("Id % 3 = 0"), learned, scenario.family_rates(train), ("scenario",)))
+    return shown(scenario.applied(b, learned, scenario.family_rates(train), ("scenario",)))
+
 
+@query("scenario_output_apply", over(f"SELECT Id, {by_output(ENC)} FROM r", f"{BINNED}, {by_output(APPLY)}"))
+def scenario_output_apply(spark, d):
+    b = binned(spark, d)
+    train = b.filter("Id % 3 <> 0")
+    learned = {"scenario_output": scenario.stats(train, scenario.KEYS["scenario_output"])}
+    return shown(scenario.applied(b, learned, scenario.family_rates(train), ("scenario_output",)), "scenario_output")
 
-@query("scenario_hash_fold")
+
+FOLD_KEY = " || chr(124) || ".join(f"CAST({k} AS VARCHAR)" for k in scenario.KEYS["scenario"])
+
+
+@query("scenario_hash_fold", over(f"SELECT DISTINCT {K}, CAST({HEX(FOLD_KEY, 8)} % 5 AS INTEGER) AS audit_fold FROM s", BINNED))
 def scenario_hash_fold(spark, d):
     return binned(spark, d).select(*scenario.KEYS["scenario"], scenario.hash_fold(scenario.KEYS["scenario"]).alias("audit_fold")).distinct()
 
@@ -561,13 +621,12 @@ def interactions(spark, d):
 # -- residuals and decisions ------------------------------------------------
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
-    t = telemetry(spark, d)
-    r = features.Raw(t.columns)
-    made = features.identity(r) | features.power_factor(r) | features.enter_service(r) | features.droop(r) | {f"{c}_curve_expected": features.curve(r, c)[f"{c}_curve_expected"] for c in S.CURVES}
+    families = (features.identity, features.power_factor, features.enter_service, features.droop, features.curves)
     pred = {"pred_w": F.col(W) * E.dbl(0.98), "pred_va": F.col(VA) * E.dbl(1.01), "pred_var": F.col(VAR) + E.dbl(5), "pred_pf": F.col(PF) * E.dbl(0.9), "pred_a": F.col(A) - F.col(AC + "ThrotPct") / E.dbl(100)}
     keep = [*(x for s in residuals.TARGETS.values() for x in s if x), *(S.safe(p[0] + ".Ena") for p in S.CURVES.values())]
     names = ("device_family", "pf_control_any_enabled", "enter_service_should_idle", "freqdroop_outside_deadband", *(f"{c}_curve_expected" for c in S.CURVES))
-    return t.select("Id", "Label", *keep, *[made[n].alias(n) for n in names], *[c.alias(k) for k, c in pred.items()], F.lit(0).alias("hard_override_anomaly"))
+    rows = features.planned(telemetry(spark, d), lambda r: dict(x for f in families for x in f(r).items() if x[0] in names), keys=("Id", "Label", AC + "ThrotPct", *keep))
+    return rows.select("Id", "Label", *keep, *names, *[c.alias(k) for k, c in pred.items()], F.lit(0).alias("hard_override_anomaly"))
 
 
 RES = {}
@@ -611,6 +670,31 @@ def mode_residuals(spark, d):
     return residuals.calibrated(p, residuals.quantiles(p)).select("Id", *MODE)
 
 
+def nested(cte: str, columns: dict[str, str], frm: str) -> str:
+    """A CTE's body that has steps of its own."""
+    return "(WITH" + cte[1:] + " " + cols(columns, "row_no", frm) + ")"
+
+
+ENABLED = ", ".join(f"coalesce({S.safe(S.CURVES[c][0] + '.Ena')}, 0e0) > 0 AND {c}_expected IS NOT NULL AS {c}" for c in S.CURVES)
+MODES = DROOPED[0] + "".join(f", x_{c} AS {nested(curve_sql(c)[0], {f'{c}_expected': curve_sql(c)[1][f'{c}_curve_expected']}, 'c')}" for c in S.CURVES)
+MODES += ", y AS (SELECT e.row_no, " + ", ".join(f"({BIN_SQL[b]}) = 1 AS {k}" for k, b in (("pf", "pf_mode"), ("droop", "droop_active"), ("enter_idle", "enter_idle"))) + f", {ENABLED} FROM e" + "".join(f" JOIN x_{c} USING (Id)" for c in S.CURVES) + ")"
+MODES += ", o AS (SELECT *, voltvar OR wattvar OR pf AS curve_var, voltwatt OR droop OR enter_idle AS dispatch FROM y)" + RESID + QUANTS
+PRODUCTS = {f"mode_resid_{t}_{m}": (t, m) for t, m in (("pf", "pf"), ("var", "pf"), ("var", "voltvar"), ("w", "voltwatt"), ("var", "wattvar"), ("w", "droop"), ("w", "enter_idle"), ("a", "enter_idle"))} | {"mode_curve_var_resid": ("var", "curve_var"), "mode_dispatch_w_resid": ("w", "dispatch")}
+TAIL = {"mode_extreme_var_curve": f"{q_bit('abs(norm_var) >= var_extreme')} * CAST(curve_var AS INTEGER)", "mode_extreme_w_dispatch": f"{q_bit('abs(norm_w) >= w_extreme')} * CAST(dispatch AS INTEGER)"}
+
+
+@query("calibration_modes", rowed(over("SELECT u.Id, " + ", ".join(f"coalesce(abs(norm_{t}), 0e0) * CAST({m} AS DOUBLE) AS {k}" for k, (t, m) in PRODUCTS.items()) + ", " + ", ".join(f"{x} AS {k}" for k, x in TAIL.items()) + f", {q_sum(TAIL.values())} AS mode_tail_count FROM u JOIN o USING (Id) LEFT JOIN z USING (device_family)", MODES)))
+def calibration_modes(spark, d):
+    p = residuals.residuals(predicted(spark, d))
+    return residuals.calibrated(p, residuals.quantiles(p)).select("Id", *PRODUCTS, *TAIL, "mode_tail_count")
+
+
+@query("calibration_ratios", over("SELECT u.Id, " + ", ".join(f"round({q_div(f'abs(norm_{t})', f'{t}_extreme')}, 6) AS q99_ratio_resid_{t}" for t in RES) + " FROM u LEFT JOIN z USING (device_family)", RESID + QUANTS))
+def calibration_ratios(spark, d):
+    p = residuals.residuals(predicted(spark, d))
+    return residuals.calibrated(p, residuals.quantiles(p)).select("Id", *[F.round(f"q99_ratio_resid_{t}", 6).alias(f"q99_ratio_resid_{t}") for t in residuals.TARGETS])
+
+
 @query("normal_mask", over("SELECT Id, Label = 0 AND device_family <> 'other' AND noncanonical = 0 AS normal FROM f", FLAGGED))
 def normal_mask(spark, d):
     return rules.refreshed(flags(spark, d), ["noncanonical"]).select("Id", residuals.normal_rows().alias("normal"))
@@ -653,7 +737,7 @@ def threshold_search(spark, d):
 BL = f"{PR}, w AS (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS weight FROM range(21) r(i)), x AS (SELECT Label, weight, CAST(weight * p + (1 - weight) * q AS FLOAT) AS a, CAST(weight * ap + (1 - weight) * aq AS FLOAT) AS b FROM v CROSS JOIN w), y AS (SELECT weight, k, threshold, sum(CASE WHEN a >= CAST(threshold AS FLOAT) THEN Label ELSE 0 END) AS tp, sum(CASE WHEN a >= CAST(threshold AS FLOAT) THEN 1 - Label ELSE 0 END) AS fp, sum(CASE WHEN b >= CAST(threshold AS FLOAT) THEN Label ELSE 0 END) AS atp, sum(CASE WHEN b >= CAST(threshold AS FLOAT) THEN 1 - Label ELSE 0 END) AS afp, sum(Label) AS positives FROM x CROSS JOIN g GROUP BY weight, k, threshold), j AS (SELECT weight, k, threshold, {F2_SQL} AS f2, {F2_SQL.replace('tp', 'atp').replace('fp', 'afp')} AS audit_f2 FROM y), b AS (SELECT *, row_number() OVER (PARTITION BY weight ORDER BY f2 DESC, k) AS r FROM j)"
 
 
-@query("blend_select", BL + " SELECT weight, threshold, f2, audit_f2 FROM b WHERE r = 1 AND audit_f2 >= (SELECT audit_f2 - CAST(0.003 AS DOUBLE) FROM b WHERE r = 1 AND weight = 1) ORDER BY f2 DESC, audit_f2 DESC, weight LIMIT 1")
+@query("blend_select", BL + " SELECT weight, threshold, f2, audit_f2 FROM b WHERE r = 1 AND audit_f2 >= (SELECT audit_f2 - CAST(0.003 AS DOUBLE) FROM b WHERE r = 1 AND weight = 1) ORDER BY f2 DESC, audit_f2 DESC, weight = 1 DESC, weight LIMIT 1")
 def blend_select(spark, d):
     return decisions.choose_blend(decisions.blend_table(probabilities(spark, d), "p", "q", "ap", "aq")).select("weight", "threshold", "f2", "audit_f2")
 
@@ -666,15 +750,31 @@ def metrics_rollup(spark, d):
     return decisions.metrics_by_family(flags(spark, d), "w_gt_wmax_tol")
 
 
-NC = [AC + "W", AC + "TmpTrns", AC + "TmpSw", CAP + "VNom", CAP + "VNomRtg", AC + "Hz"]
+#: Every number of the view.
+NC = [c for c in VIEW if not c.startswith("common_0_") or c in ("common_0_ID", "common_0_L")]
+NC = [c for c in NC if c not in ("Id", "Label")]
+NC_SQL = ", ".join(f"{{'column': '{c}', 'present': count({c}), 'kept': count({c}) > 0 AND coalesce(min({c}) <> max({c}), FALSE)}}" for c in NC)
 
 
-@query("nonconstant_columns", over(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS present, count({c}) > 0 AND coalesce(min({c}) <> max({c}), FALSE) AS kept FROM t" for c in NC)))
+@query("nonconstant_columns", over(f"SELECT unnest([{NC_SQL}], recursive := true) FROM t"))
 def nonconstant_columns(spark, d):
     return decisions.nonconstant(telemetry(spark, d), NC)
 
 
-@query("feature_frame")
+def frame_sql() -> str:
+    """All features from the pieces of the other queries, put together by Id."""
+    known = lambda c: have(c) if have(c) != "NULL" else "CAST(NULL AS DOUBLE)"
+    simple = {"device_fingerprint": MARK, "device_family": FAMILY, "common_missing_any": q_bit(f"{N_MISSING} > 0"), "common_missing_count": N_MISSING, "common_sn_has_decimal_suffix": q_bit("common_0_SN LIKE '%.0'"), "noncanonical": q_bit(f"({FAMILY}) = 'other'")}
+    simple |= {S.safe(c): known(c) for c in S.MIRRORED} | {S.safe(c): f"coalesce(CAST({have(c)} AS VARCHAR), '<NA>')" for c in S.STRINGS}
+    for name in ("bit_pattern", "block_missingness", "row_min_max_mean", "safe_ratio", "setting_ratios", "deltas", "close_eq", "tolerance_flags", "sign_mismatch", "power_triangle", "phase_spread", "phase_sum_error", "control_compliance", "capacity_ext", "percentages", "enter_service", "pf_control", "dc_consistency", "ac_type_rare"):
+        simple |= FAMILY_SQL[name]
+    simple |= _integrity_sql()
+    parts = {"agg": nested(FLAGGED, AGG_SQL, "f"), "droop": nested(*droop_sql(), "e")}
+    parts |= {f"trip_{s}": nested(*trip_sql(s), "c") for s in S.TRIPS} | {f"curve_{c}": nested(*curve_sql(c), "c") for c in S.CURVES}
+    return rowed(over("SELECT * EXCLUDE (row_no) FROM base" + "".join(f" JOIN p_{k} USING (Id)" for k in parts), ", base AS (" + cols(simple | TRIP_ANY, "Id, Label") + ")" + "".join(f", p_{k} AS {x}" for k, x in parts.items())))
+
+
+@query("feature_frame", frame_sql())
 def feature_frame(spark, d):
     return features.feature_frame(telemetry(spark, d))
 
@@ -689,6 +789,7 @@ def modelled(spark: SparkSession, d: str, *keys: str) -> DataFrame:
     """All rows with their folds, the columns of some feature families and the key columns; the whole frame takes minutes to plan."""
     seen = [x for s in residuals.TARGETS.values() for x in s if x]
     out = features.family_columns(telemetry(spark, d), *rules.NEEDS, "percentages", "temperature", keys=("Id", "Label", *seen, *keys))
+    out = out.select("*", *[c.alias(k) for k, c in rules.aggregates().items()])
     return rules.refreshed(out, ["noncanonical"]).withColumn("fold", F.pmod("Id", F.lit(SMALL.folds)).cast("int")).persist()
 
 
@@ -708,12 +809,25 @@ def surrogate_fit_score(spark, d):
         return residuals.residuals(models.with_predictions(part, fitted, inputs)).select("Id", *[f"{k}_{t}" for t in residuals.TARGETS for k in ("pred", "resid")])
 
     def family(part: DataFrame) -> DataFrame:
-        inputs = models.kept_columns(part, models.numeric_columns(part, models.LEAKY))
+        inputs = models.kept_columns(part, models.surrogate_columns(part))
         return shown(part, models.fit_surrogates(part, SMALL, inputs), inputs)
 
     return by_family(modelled(spark, d), family, lambda part: shown(part, dict.fromkeys(residuals.TARGETS), ["fold"]))
 
 
+#: The whole path with few and shallow trees, by the reference's folds.
+TINY = models.Settings(surrogate_trees=1, surrogate_depth=2, trees=1, depth=3, categorical_trees=1)
+#: The feature families of that run, beside those that the rules need: what scenarios, residuals and their modes read.
+PATH = ("mirror", "missingness", "percentages", "curves", "droop")
+
+
+@query("fit_predict")
+def fit_predict(spark, d):
+    """Fits on all rows, then scores them as new ones."""
+    t = telemetry(spark, d)
+    return models.score(t.drop("Label"), models.fit(t, TINY, PATH))
+
+
 def unmodelled(part: DataFrame) -> DataFrame:
     return models.probability(part, None, "probability_1").select("Id", "fold", "probability_1")
 

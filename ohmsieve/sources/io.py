@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import getpass
 import hashlib
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
@@ -54,14 +56,39 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder that ``spark.checkpoint.dir`` names; only a local session may lack that."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master or 'this cluster'} needs a folder that all machines share")
+        root = f"file:///tmp/checkpoints/ohmsieve-{getpass.getuser()}-{spark.sparkContext.applicationId}"
+    return f"{root.rstrip('/')}/ohmsieve-{name}-{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder and read again: computed once, and safe when executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, *counters: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with counters that an action over it fills in on the way: progress without a second pass."""
+    seen = Observation(name)
+    return df.observe(seen, *counters), seen
+
+
 def write_by_family(features: DataFrame, path: str) -> None:
     """The feature frame as Parquet, so that reading one family prunes the others."""
     features.write.mode("overwrite").partitionBy("device_family").parquet(path)
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: rows and an order-free sum of row hashes."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("digest"))
+    """One row: rows and an order-free sum of row hashes (the first 48 bits of their md5, which other engines compute alike)."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
 def file_digest(path: str, block: int = 1 << 20) -> str:

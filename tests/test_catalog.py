@@ -8,7 +8,7 @@ import __spark_entry__
 from ohmsieve.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ("scan_project", "coerce_numeric", "null_tokens", "family_classify", "raw_mirror", "safe_ratio", "tolerance_flags", "bucketize_even", "model_integrity", "row_min_max_mean", "curve_voltwatt", "control_compliance", "enter_service", "freq_droop", "dc_consistency", "rule_audit", "leave_fold_out", "scenario_oof", "threshold_search", "blend_select", "nonconstant_columns")
+SOME = ("scan_project", "coerce_numeric", "null_tokens", "family_classify", "raw_mirror", "safe_ratio", "tolerance_flags", "bucketize_even", "model_integrity", "row_min_max_mean", "curve_voltwatt", "control_compliance", "enter_service", "freq_droop", "dc_consistency", "rule_audit", "leave_fold_out", "scenario_oof", "threshold_search", "blend_select", "nonconstant_columns", "csv_roundtrip", "row_digest", "observed_counts", "family_table", "feature_frame", "trip_any", "piecewise_interp", "curve_voltvar", "trip_block_lv", "scenario_output_oof", "scenario_apply", "scenario_output_apply", "scenario_hash_fold", "exact_quantiles", "residual_calibration", "calibration_modes", "calibration_ratios")
 
 
 def table(df):

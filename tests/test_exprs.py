@@ -65,7 +65,7 @@ def test_interpolate_against_scalar_model(spark):
         ys = [None if random.random() < 0.1 else float(random.randint(-5, 5)) for _ in range(4)]
         rows.append((None if random.random() < 0.05 else random.randint(-2, 16) / 2, *xs, *ys))
     c = [F.col(f"c{i}") for i in range(9)]
-    got = one(spark, ", ".join(f"c{i} double" for i in range(9)), rows, v=E.interpolate(c[0], c[1:5], c[5:]), n=E.pair_count(c[1:5], c[5:]))
+    got = one(spark, ", ".join(f"c{i} double" for i in range(9)), rows, v=E.interpolate(E.finite(c[0]), *E.paired(c[1:5], c[5:])), n=E.pair_count(c[1:5], c[5:]))
     for row, r in zip(rows, got, strict=True):
         want = scalar_interp(row[0], row[1:5], row[5:])
         assert (r["v"] is None) == (want is None) and (want is None or math.isclose(r["v"], want, abs_tol=1e-12)), row

@@ -3,9 +3,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from ohmsieve.operators import decisions, features, rules, scenario
+from ohmsieve.operators import decisions, features, residuals, rules, scenario
 from ohmsieve.sources import io
 from ohmsieve.sources import schema as S
+from ohmsieve.sources.telemetry import telemetry
 from ohmsieve.streaming import scoring
 
 
@@ -17,7 +18,7 @@ def test_schema_counts():
     assert S.safe("DERMeasureDC[0].Prt[0].IDStr") == "DERMeasureDC_0_Prt_0_IDStr"
 
 
-def test_feature_frame_names():
+def test_feature_frame_names(spark):
     r = features.Raw([S.safe(c) for c in S.SOURCE])
     names = [k for n, f in features.FAMILIES.items() if n != "trip_any" for k in f(r)]
     assert len(names) == len(set(names))
@@ -111,3 +112,64 @@ def test_stream_scoring(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 3 and all(r["hard_override_anomaly"] == 1 for r in got)
+
+
+def test_blend_ties(spark):
+    """Of weights that tie in everything the numeric model alone wins; else the larger audit F2, then the smaller weight."""
+    pick = lambda rows: tuple(decisions.choose_blend(spark.createDataFrame(rows, "weight double, threshold double, f2 double, audit_f2 double")).first())
+    assert pick([(w / 20, 0.3, 0.8, 0.7) for w in range(21)])[0] == 1.0
+    assert pick([(0.0, 0.3, 0.8, 0.71), (0.5, 0.3, 0.8, 0.71), (1.0, 0.3, 0.8, 0.7)])[0] == 0.0
+    assert pick([(0.0, 0.3, 0.9, 0.69), (0.5, 0.3, 0.85, 0.71), (1.0, 0.3, 0.8, 0.7)])[0] == 0.5
+    p = spark.createDataFrame([(1, 0.9), (0, 0.1)] * 5, "Label int, p double")
+    table = decisions.blend_table(p.withColumns({k: p["p"] for k in ("q", "ap", "aq")}), "p", "q", "ap", "aq")
+    assert table.count() == 21 and decisions.choose_blend(table).first()["weight"] == 1.0
+
+
+def test_reached_counts_thresholds(spark):
+    import numpy as np
+
+    grid = np.array(decisions.GRID, np.float32)
+    values = [0.0, 1.0, -3.0, 0.6, 0.02, *decisions.GRID, *(float(np.nextafter(np.float32(t), np.float32(s))) for t in decisions.GRID for s in (0, 1)), *np.random.default_rng(1).random(300).tolist()]
+    got = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "p double").select("p", decisions.reached(F.col("p")).alias("b")).collect()
+    for r in got:
+        want = 0 if r["p"] is None else len(grid) if r["p"] != r["p"] else int((np.float32(r["p"]) >= grid).sum())
+        assert r["b"] == want, r
+
+
+def test_exact_quantiles_with_ties_and_gaps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1, 601, 2):
+        x = [float(v) for v in rng.exponential(0.1, 5)]
+        x[1], x[2], x[3] = 0.0, 0.25, None if i % 3 else float("nan")
+        rows.append((i, 0, 0, "canon10" if i % 4 == 1 else "canon100", *x))
+    rows.append((2001, 0, 0, "canon10", None, None, None, None, None))
+    names = [f"abs_norm_resid_{t}" for t in residuals.TARGETS]
+    df = spark.createDataFrame(rows, "Id long, Label int, hard_override_anomaly int, device_family string, " + ", ".join(f"{n} double" for n in names))
+    for r in residuals.quantiles(df).collect():
+        for k, t in enumerate(residuals.TARGETS):
+            x = [row[4 + k] for row in rows if row[3] == r["device_family"] and row[4 + k] is not None and row[4 + k] == row[4 + k]]
+            for level, q in residuals.LEVELS.items():
+                want = max(np.quantile(x, q), residuals.FLOOR) if x else residuals.FALLBACK[level]
+                assert abs(r[f"{t}_{level}"] - want) < 1e-12
+
+
+def test_scratch_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        io.scratch(Session(), "x")
+
+
+def test_shared_quantities_are_planned_once(spark):
+    """Curve picks stand in a projection of their own, which the optimiser keeps apart."""
+    t = telemetry(spark, "/root/testdata/sf0.001")
+    plan = features.planned(t, lambda r: features.curve(r, "wattvar"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("DERWattVar_0_Crv_2_Pt_5_W") < 12 and plan.count("Project") >= 3
