@@ -52,7 +52,7 @@ FILTER_BITS = (24, 29)
 #: Least and most cells (as powers of 2, a byte each) of the table of frequency levels.
 LEVEL_BITS = (22, 26)
 #: Rows and bytes of sets that make a part of a group, the parts of a group that are all compared with each other, and pivots of a larger one.
-GROUP_ROWS, GROUP_BYTES, DIRECT_PARTS, PIVOTS = 2048, 4 << 20, 16, 128
+GROUP_ROWS, GROUP_BYTES, DIRECT_PARTS, PIVOTS = 128, 4 << 20, 64, 128
 #: Sets of more shingles have over 10 ** 9 subsets each, which never costs less than scanning: their sizes are not counted.
 LIGHT_SIZES = 36
 #: Stands for a null doc_id inside packed blocks.

@@ -10,8 +10,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     """Distinct texts, their 0/1 label and how many rows have each label: of each class the ``per_class`` labelled rows with the smallest hash of doc_id.
 
     ``keep`` chooses among the labels; a document with several labels has the
-    largest.  Longer texts than ``max_bytes`` are no examples.  At most
-    ``2 * per_class * max_bytes`` bytes reach the driver.
+    largest, one with several texts the first of them.  Longer texts than
+    ``max_bytes`` are no examples.  At most ``2 * per_class * max_bytes`` bytes
+    reach the driver.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep)
     known = known.groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("_h", F.xxhash64("doc_id"))
@@ -19,7 +20,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     picked = [known.filter(F.col("y") == y).orderBy("_h", "doc_id").limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1]).select("doc_id", "y")
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes)
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()  # 2 * per_class ids are broadcast
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").collect()  # 2 * per_class ids are broadcast
     found: dict[bytes, int] = {}
     for _, text, y in sorted(rows, key=lambda r: (r[0], r[1])):
         found.setdefault(text.encode(), y)

@@ -42,9 +42,9 @@ GRAM, WINDOW = 35, 16
 MIN_WORDS = GRAM + WINDOW - 1
 #: Words on either side of a suffix's first words that are kept for extension.
 SIDE = WINDOW - 1
-#: Text bytes for each block of suffix hashes, and bits of the table of repeated ones (a fixed size).
+#: Text bytes for each block of suffix hashes, and least and most bits (as powers of 2) of the table of repeated ones: at most 64 MB.
 BLOCK_BYTES = 256 << 20
-SEEN_BITS = 26
+SEEN_BITS = (26, 29)
 #: Neighbours on either side with which a suffix is compared before hashes of passages settle the rest.
 NEAR = 4
 U = np.uint64
@@ -70,8 +70,8 @@ def suffixes(data: np.ndarray, offs: np.ndarray):
     return h, ptr, g[at], at, starts, ends
 
 
-def repeated_table(docs: DataFrame, buckets: int) -> np.ndarray:
-    """A bitmap of fixed size over the hash range: set where a suffix's first words occur more than once."""
+def repeated_table(docs: DataFrame, buckets: int, seen: int) -> np.ndarray:
+    """A bitmap of 2**seen bits over the hash range: set where a suffix's first words occur more than once."""
     bits = (buckets - 1).bit_length()
 
     def deal(batches):
@@ -86,7 +86,7 @@ def repeated_table(docs: DataFrame, buckets: int) -> np.ndarray:
                 twice = [five(s[x:y][length[x:y] > 1] << U(bits) >> U(24)) for _, x, y in spans]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in spans], pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["bucket", "once", "twice"])
 
-    width = 1 << (SEEN_BITS - bits)
+    width = 1 << (seen - bits)
 
     def reduce(table: pa.Table) -> pa.Table:
         once, twice = from_five(table.column("once").to_pylist()), from_five(table.column("twice").to_pylist())
@@ -94,11 +94,11 @@ def repeated_table(docs: DataFrame, buckets: int) -> np.ndarray:
         v.sort()
         start, length = runs(v)
         cells = np.zeros(width, bool)
-        cells[(v[start[length > 1]] >> U(40 - (SEEN_BITS - bits))).astype(np.int64)] = True
+        cells[(v[start[length > 1]] >> U(40 - (seen - bits))).astype(np.int64)] = True
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "cells": [np.packbits(cells, bitorder="little").tobytes()]})
 
-    out = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
-    for b, cells in docs.select("text").mapInArrow(deal, "bucket int, once binary, twice binary").groupBy("bucket").applyInArrow(reduce, "bucket int, cells binary").toLocalIterator():  # 2 ** SEEN_BITS bits in all
+    out = np.zeros((1 << seen) // 8, np.uint8)
+    for b, cells in docs.select("text").mapInArrow(deal, "bucket int, once binary, twice binary").groupBy("bucket").applyInArrow(reduce, "bucket int, cells binary").toLocalIterator():  # 2 ** seen bits in all
         out[b * width // 8 : (b + 1) * width // 8] = np.frombuffer(bytes(cells), np.uint8)
     return out
 
@@ -109,13 +109,14 @@ SUFFIX = "key long, after binary, before binary, doc_id long, pos long"
 def suffix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """The sampled suffixes that the table lets pass, with the words on either side as 32-bit hashes (0: none)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    shift = U(64 - (8 * len(table) - 1).bit_length())
 
     def task(batches):
         bits = shared.value
         for batch in batches:
             for lo, _, data, offs in tv.text_slices(batch, "text"):
                 h, ptr, g, at, _, _ = suffixes(data, offs)
-                cell = (g >> U(64 - SEEN_BITS)).astype(np.int64)
+                cell = (g >> shift).astype(np.int64)
                 keep = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
                 if not len(keep):
                     continue
@@ -276,7 +277,9 @@ def repeated_spans(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << max(5, (-(-int(total) // BLOCK_BYTES) - 1).bit_length())
-    table = repeated_table(docs, min(buckets, 1 << 20))
+    # a suffix for each 48 bytes of text or so
+    seen = min(max(SEEN_BITS[0], (int(total) // 48).bit_length()), SEEN_BITS[1])
+    table = repeated_table(docs, min(buckets, 1 << 20), seen)
     rows = ws.table("suffixes", suffix_rows(docs, table))
     found = ws.table("found", neighbours(rows))
     ws.drop("suffixes")

@@ -134,6 +134,9 @@ def test_nbest_against_all_segmentations():
         ids, ptr, scores, _, _ = seg.encode(*batch([text, ""]))
         assert scores[0] == pytest.approx([s for s, _ in want[: seg.n]]) and scores[1] == [0.0]
         assert seg.decode(ids).decode() == " " + text
+        whole = seg.segmentations(text)
+        assert [s for s, _ in whole] == pytest.approx(scores[0]) and len({tuple(p) for _, p in whole}) == len(whole)
+        assert whole[0][1] == ids.tolist() and all(any(p == tuple(w) and s == pytest.approx(x) for s, p in want) for x, w in whole)
 
 
 def test_nbest_rows(spark):
@@ -142,6 +145,10 @@ def test_nbest_rows(spark):
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     assert all(r["nbest_scores"] == [0.0] and r["n_pieces"] == 0 for r in got if r["doc_id"] in (0, 40))
     assert nbest.segment(docs(spark, [])).count() == 0
+    ids = nbest.segment_ids(docs(spark, rows)).collect()
+    best = {r["doc_id"]: r["ids"] for r in ids if r["rank"] == 1}
+    assert all(zlib.crc32(np.array(best[r["doc_id"]], "<u4").tobytes()) == r["ids_crc32"] for r in got)
+    assert all(nbest.segmenter().decode(np.array(r["ids"], int)).decode() == (" " + dict(rows)[r["doc_id"]] if r["ids"] else "") for r in ids if "▁" not in (dict(rows)[r["doc_id"]] or ""))
 
 
 def test_nbest_of_long_parts_and_small_stores(monkeypatch):
