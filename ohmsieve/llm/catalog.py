@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .additive import op13_additive_model
 from .jaccard import op2_heavy_light_join
 from .nbest import op4_nbest_lattice
 from .packing import op3_best_two_fit
@@ -21,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_wavelet_shards, op2_heavy_light_join, op3_best_two_fit, op4_nbest_lattice, op5_sparse_suffixes, op6_host_reputation, op7_impact_ordered, op8_compression_distance, op9_ngram_logistic, op10_bounded_ring)
+    found = (op1_wavelet_shards, op2_heavy_light_join, op3_best_two_fit, op4_nbest_lattice, op5_sparse_suffixes, op6_host_reputation, op7_impact_ordered, op8_compression_distance, op9_ngram_logistic, op10_bounded_ring, op13_additive_model)
     return {f.__name__: f for f in found}
 
 
