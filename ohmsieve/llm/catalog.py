@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .additive import op13_additive_model
+from .annulus import op11_annulus_search
 from .jaccard import op2_heavy_light_join
 from .nbest import op4_nbest_lattice
 from .packing import op3_best_two_fit
@@ -22,12 +23,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_wavelet_shards, op2_heavy_light_join, op3_best_two_fit, op4_nbest_lattice, op5_sparse_suffixes, op6_host_reputation, op7_impact_ordered, op8_compression_distance, op9_ngram_logistic, op10_bounded_ring, op13_additive_model)
+    found = (op1_wavelet_shards, op2_heavy_light_join, op3_best_two_fit, op4_nbest_lattice, op5_sparse_suffixes, op6_host_reputation, op7_impact_ordered, op8_compression_distance, op9_ngram_logistic, op10_bounded_ring, op11_annulus_search, op13_additive_model)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_impact_ordered": TOP_K_SQL}
+    return {"op7_impact_ordered": TOP_K_SQL, "op11_annulus_search": NEGATIVES_SQL}
 
 
 TOP_K_SQL = """
@@ -43,3 +44,22 @@ WITH v AS (
 )
 SELECT query, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.r AS qr, c.r AS cr, q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) AS place FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.qr, p.cr ORDER BY s.score DESC, s.vec_id, s.cr) AS INTEGER) AS rank
+  FROM p JOIN s ON p.qr = s.qr AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""

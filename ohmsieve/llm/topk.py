@@ -43,12 +43,12 @@ SEEDS = 8
 LOWEST = np.iinfo(np.int64).min
 
 
-def quantised(table: DataFrame, scale: float = 64.0) -> DataFrame:
-    """vec_id, v (floor(scale * x), long), dim of the vectors that take part."""
+def quantised(table: DataFrame, scale: float = 64.0, *more: str) -> DataFrame:
+    """vec_id, v (floor(scale * x), long), dim of the vectors that take part, and ``more`` columns."""
     x = F.col("embedding")
     fine = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False))
     v = F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("long"))
-    return table.filter(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"))
+    return table.filter(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"), *more)
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
