@@ -20,8 +20,8 @@ Blocks of the index stay in the task that has read them, and blocks of queries
 stream past; where these are many, a block of the index is copied once for
 each SHARE of them.
 
-Defined cases: a row with a null label, vec_id or vector, or with a null or
-non-finite component, takes no part; vectors of different lengths never meet;
+Defined cases: a row with a null label, vec_id or vector, with an empty vector
+or with a null or non-finite component takes no part; vectors of different lengths never meet;
 rows that repeat a vec_id are rows of their own, as anchors, positives and
 negatives, and an anchor leaves out itself only; equal scores go by vec_id,
 then by an arbitrary fixed order of rows; an anchor without other rows of its

@@ -13,8 +13,8 @@ Of more than a few index blocks, the queries first meet one in SEEDS.  The k-th
 is a floor for the others: they start with it, and return nothing below it,
 so a query gathers about SEEDS * k rows however many blocks there are.
 
-Defined cases: a vector that is null, or holds a null or non-finite
-component, takes no part; vectors of different lengths never meet; equal
+Defined cases: a vector that is null or empty, or holds a null or
+non-finite component, takes no part; vectors of different lengths never meet; equal
 vectors are all candidates; ties go to the smaller vec_id; of rows that repeat
 a vec_id each is a candidate, and a query, of its own: it is left out of its
 own answer only; a null vec_id takes no part; an empty table gives no row.
@@ -48,7 +48,7 @@ def quantised(table: DataFrame, scale: float = 64.0, *more: str) -> DataFrame:
     x = F.col("embedding")
     fine = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False))
     v = F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("long"))
-    return table.filter(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"), *more)
+    return table.filter(fine & (F.size(x) > 0) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"), *more)
 
 
 def _matrix(table: pa.Table) -> np.ndarray:

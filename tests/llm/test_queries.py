@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_compression_distance": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_ngram_logistic": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op10_bounded_ring": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_annulus_search": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op13_additive_model": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
