@@ -3,18 +3,19 @@
 Labelled outcomes of pages (good or not) are counted by host, registered
 domain and public suffix.  Each level's rate is shrunk towards the level
 above it by a beta-binomial prior whose strength is estimated by moments from
-the spread between that level's groups.  A host's bound is the quantile
-(QUANTILE) of its beta posterior, found on a grid of the posterior's density.
-The threshold comes from the labels: the largest bound below which the hosts
-hold at most a share (MOST_BLOCKED) of the labelled pages that no rule
-decides; a host's pages are blocked if its bound is below it.  Explicit rules come first; the longest that
-fits wins.  Only DataFrame functions are used.
+the spread between that level's groups.  A host's bound is the upper quantile
+(QUANTILE) of its beta posterior, found on a grid of the posterior's density: its
+rate lies below with that probability.  A host's pages are blocked if even the
+bound is less than a share (LEAST_SHARE) of the rate of all labelled pages, so
+it takes evidence of bad pages to block and few pages alone never do.  Explicit
+rules come first; the longest that fits wins.  Only DataFrame functions are used.
 
 Defined cases: a null url or one without ``://`` has an empty host and path
-and the reputation of the empty host; hosts without labelled pages have their
-domain's rate as prior and no record; without any labelled page nothing is
-blocked; repeated pages are judged, and count, each; labels that a page_id has
-from several urls count as the worst of them; an empty table gives no row;
+and the reputation of the empty host; a host without labelled pages is judged
+by its domain's posterior, and if that has none either by its suffix's; without
+any labelled page, or with good ones only, nothing is blocked; repeated pages
+are judged, and count, each; labels that a page_id has from several urls count
+as the worst of them; urls may be of any length; an empty table gives no row;
 other columns are ignored.
 """
 
@@ -29,15 +30,14 @@ from .store import Workspace, read
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Labels that make a public suffix of two labels when a country's two letters follow; any other suffix is the last label.
 SECOND_LEVEL = "ac|co|com|edu|gob|gov|go|ltd|mil|ne|net|nom|or|org|plc|sch"
-#: The bound is this quantile of the posterior.
-QUANTILE = 0.05
-#: Share of the labelled pages without a rule that the blocked hosts may hold.
-MOST_BLOCKED = 0.1
+#: The bound is this quantile of the posterior, and must reach this share of the rate of all labelled pages.
+QUANTILE, LEAST_SHARE = 0.95, 0.5
 #: Least and most pages that a prior is worth.
 STRENGTH = (2.0, 500.0)
-#: Steps of the grid for a bound, a tenth of a standard deviation each, and bins of bounds for the threshold.
-GRID, BINS = 400, 8192
-SALTS = 16
+#: Steps of the grid for a bound, a tenth of a standard deviation each.
+GRID = 400
+#: A host's pages meet its row in parts of at most one in so many of all pages; so no more than twice as many rows are copies.
+PARTS = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -102,60 +102,56 @@ def beta_quantile(a: Column, b: Column, q: float = QUANTILE) -> Column:
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """host, open, host_rate, host_bound from rows (host, domain, suffix, good, ruled), ``good`` null where a page has no label.
+    """host, pages, labelled, host_rate, host_bound, all_rate from rows (host, domain, suffix, good), ``good`` null where a page has no label.
 
-    ``open`` counts the labelled pages that are not ``ruled``.  Every host of the
-    input gets a row, also without labels.
+    Every host of the input gets a row, also without labels; ``all_rate`` is the rate of all labelled pages.
     """
     ws = Workspace(outcomes.sparkSession, "reputation")
-    hosts = outcomes.groupBy("host", "domain", "suffix").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("k"), F.count("good").cast("double").alias("n"), F.count(F.when(~F.col("ruled"), F.col("good"))).alias("open"))
+    hosts = outcomes.groupBy("host", "domain", "suffix").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("k"), F.count("good").cast("double").alias("n"), F.count(F.lit(1)).alias("pages"))
     hosts = ws.table("counts", hosts)  # read at every level
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     k, n = suffixes.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()  # one row
+    every = (k + 1) / (n + 2)
 
-    def shrunk(stats: DataFrame) -> tuple[DataFrame, float]:
-        """The posterior rate of groups (k, n) with the prior rate m."""
+    def shrunk(stats: DataFrame) -> DataFrame:
+        """The posterior (a, b) of groups (k, n) with the prior rate m; a group without labels has that of the level above (a0, b0)."""
         w = strength(stats)
-        return stats.withColumn("rate", (F.col("k") + w * F.col("m")) / (F.col("n") + w)), w
+        own = lambda x, m: F.col(x) + w * m
+        none = F.col("n") == 0
+        a, b = F.when(none, F.col("a0")).otherwise(own("k", F.col("m"))), F.when(none, F.col("b0")).otherwise(F.col("n") - F.col("k") + w * (1 - F.col("m")))
+        return stats.withColumns({"a": a, "b": b}).drop("m", "a0", "b0")
 
-    above = lambda name, df: df.select(*name, F.col("rate").alias("m"))
-    suffixes, _ = shrunk(suffixes.withColumn("m", F.lit((k + 1) / (n + 2))))
-    domains, _ = shrunk(domains.join(above(["suffix"], suffixes), "suffix"))
-    hosts, w = shrunk(hosts.join(above(["domain", "suffix"], domains), ["domain", "suffix"]))
-    a, b = F.col("k") + w * F.col("m"), F.col("n") - F.col("k") + w * (1 - F.col("m"))
-    return ws.table("hosts", hosts.select("host", "open", F.col("rate").alias("host_rate"), beta_quantile(a, b).alias("host_bound")))
+    above = lambda name, df: df.select(*name, (F.col("a") / (F.col("a") + F.col("b"))).alias("m"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+    suffixes = shrunk(suffixes.withColumns({"m": F.lit(every), "a0": F.lit(k + 1.0), "b0": F.lit(n - k + 1.0)}))
+    domains = shrunk(domains.join(above(["suffix"], suffixes), "suffix"))
+    hosts = shrunk(hosts.join(above(["domain", "suffix"], domains), ["domain", "suffix"]))
+    rate = F.col("a") / (F.col("a") + F.col("b"))
+    return ws.table("hosts", hosts.select("host", "pages", F.col("n").cast("long").alias("labelled"), rate.alias("host_rate"), beta_quantile(F.col("a"), F.col("b")).alias("host_bound"), F.lit(every).alias("all_rate")))
 
 
-def threshold_of(hosts: DataFrame, most: float = MOST_BLOCKED) -> float:
-    """The largest bound below which hosts (open, host_bound) hold at most a share of the labelled pages without a rule, to 1 / BINS."""
-    place = F.least(F.floor(F.col("host_bound") * BINS), F.lit(BINS - 1)).cast("int")
-    pages = dict(hosts.filter("open > 0").groupBy(place.alias("bin")).agg(F.sum("open")).collect())  # at most BINS rows
-    room, at = most * sum(pages.values()), 0
-    for at in sorted(pages):
-        room -= pages[at]
-        if room < 0:
-            return at / BINS
-    return 0.0
-
-
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, most: float = MOST_BLOCKED) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST_SHARE) -> DataFrame:
     """page_id, host, path, rule, verdict, host_rate, host_bound for every page; outcomes: (page_id, good 0 or 1), at most one row a page_id.
 
     A host may hold a third of all pages: counts are taken before any shuffle
-    by host, and pages meet their host's row by host and a salt.
+    by host, and pages meet a host that has many in as many parts as its share
+    of them asks for.
     """
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     domain, suffix = site_of(F.col("host"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    seen = rows.select("page_id", "host", domain.alias("domain"), suffix.alias("suffix"), name.isNotNull().alias("ruled")).join(outcomes.select("page_id", "good"), "page_id", "left")
+    seen = rows.select("page_id", "host", domain.alias("domain"), suffix.alias("suffix")).join(outcomes.select("page_id", "good"), "page_id", "left")
     rep = reputations(seen)
-    least = threshold_of(rep, most)
-    rep = rep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumns({"rule": name, "_said": verdict, "salt": F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")})
-    out = rows.join(rep, ["host", "salt"], "left")
-    by_method = F.when(F.col("host_bound") < least, F.lit("block")).otherwise(F.lit("allow"))
+    total = rep.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]  # one row
+    hot = rep.filter(F.col("pages") * PARTS > total).select("host", F.ceil(F.col("pages") * PARTS / max(1, total)).cast("int").alias("parts"))
+    hot = F.broadcast(hot)  # fewer than PARTS hosts have more than one in PARTS of all pages
+    parts = F.coalesce("parts", F.lit(1))
+    copies = rep.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    rows = rows.withColumns({"rule": name, "_said": verdict}).join(hot, "host", "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), parts).cast("int")).drop("parts")
+    out = rows.join(copies, ["host", "salt"], "left")
+    by_method = F.when(F.col("host_bound") < least * F.col("all_rate"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("_said", by_method).alias("verdict"), "host_rate", "host_bound")
 
 

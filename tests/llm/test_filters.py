@@ -106,16 +106,28 @@ def test_urls_and_rules(spark):
     assert reputation.judge(pages_of(spark, []), spark.createDataFrame([], "page_id long, good int")).count() == 0
 
 
+def verdicts(spark, urls, good, **more):
+    return {r["page_id"]: r["verdict"] for r in reputation.judge(pages_of(spark, urls), spark.createDataFrame(good, "page_id long, good int"), **more).collect()}
+
+
 def test_reputation_shrinks_and_blocks(spark):
-    urls = [f"http://good.one.test/en/{i}" for i in range(60)] + [f"http://bad.two.test/en/{i}" for i in range(60)] + ["http://new.two.test/en/1", "http://new.one.test/en/1"]
+    """A host with 90 % bad of 60 pages is blocked, and a host without labels follows its domain."""
+    urls = [f"http://good.one.test/en/{i}" for i in range(60)] + [f"http://bad.two.test/en/{i}" for i in range(60)] + ["http://new.two.test/en/1", "http://new.one.test/en/1", "http://new.three.test/"]
     good = [(i, int(i < 60) if i % 10 else 1 - int(i < 60)) for i in range(120)]
-    got = {r["page_id"]: r["verdict"] for r in reputation.judge(pages_of(spark, urls), spark.createDataFrame(good, "page_id long, good int")).collect()}
-    assert {got[i] for i in range(60)} == {"allow"} and {got[i] for i in range(60, 120)} == {"allow"} and got[121] == "allow"
-    got = {r["page_id"]: r["verdict"] for r in reputation.judge(pages_of(spark, urls), spark.createDataFrame(good, "page_id long, good int"), most=0.5).collect()}
-    assert {got[i] for i in range(60)} == {"allow"} and {got[i] for i in range(60, 120)} == {"block"} and got[120] == "block"
+    got = verdicts(spark, urls, good)
+    assert {got[i] for i in range(60)} == {"allow"} and {got[i] for i in range(60, 120)} == {"block"}
+    assert (got[120], got[121], got[122]) == ("block", "allow", "allow")
+    assert set(verdicts(spark, urls, good, least=0.1).values()) == {"allow"}
     assert [reputation.site_of(F.lit(h)) for h in ("a",)] and spark.range(1).select(*reputation.site_of(F.lit("x.y.co.uk:8"))).first()[0] == "y.co.uk"
 
 
+def test_good_labels_and_few_pages_block_nothing(spark):
+    urls = [f"http://h{i}.d{i % 5}.net/{i}" for i in range(20)] + [f"http://big.net/{i}" for i in range(300)] + ["http://unseen.test/"]
+    assert set(verdicts(spark, urls, [(i, 1) for i in range(320)]).values()) == {"allow"}
+    # one bad page among three hundred good ones tells too little of its host
+    assert set(verdicts(spark, urls, [(i, int(i > 0)) for i in range(320)]).values()) == {"allow"}
+
+
 def beta_cdf(x, a, b):
     """By plain sums of the density on the logistic scale."""
     u = np.linspace(-60, 60, 400_001)
@@ -129,7 +141,7 @@ def test_bound_is_the_quantile(spark):
     rows = spark.createDataFrame(ab, "a double, b double").select("a", "b", reputation.beta_quantile(F.col("a"), F.col("b")).alias("x")).collect()
     assert len(rows) == len(ab)
     for r in rows:
-        assert abs(beta_cdf(r["x"], r["a"], r["b"]) - 0.05) < 2e-3
+        assert abs(beta_cdf(r["x"], r["a"], r["b"]) - reputation.QUANTILE) < 2e-3
 
 
 def plain_strength(stats):
@@ -139,37 +151,52 @@ def plain_strength(stats):
     return min(max(base / between - 1, 2), 500) if between > 0 else 500
 
 
+def plain_posteriors(rows):
+    """rows: (host, domain, suffix, good or None); each host's posterior (a, b), and the rate of all labelled rows."""
+    count = lambda key: {x: (sum(r[3] or 0 for r in rows if key(r) == x), sum(r[3] is not None for r in rows if key(r) == x)) for x in {key(r) for r in rows}}
+    k, n = sum(r[3] or 0 for r in rows), sum(r[3] is not None for r in rows)
+    levels = (lambda r: 0, lambda r: r[2], lambda r: (r[1], r[2]), lambda r: r[0])
+    post, rate = {0: (k + 1, n - k + 1)}, {0: (k + 1) / (n + 2)}
+    for up, key in zip(levels[:-1], levels[1:], strict=True):
+        c, above = count(key), {key(r): up(r) for r in rows}
+        w = plain_strength([(*c[x], rate[above[x]]) for x in c]) if n else reputation.STRENGTH[0]
+        new = {x: (c[x][0] + w * rate[above[x]], c[x][1] - c[x][0] + w * (1 - rate[above[x]])) if c[x][1] else post[above[x]] for x in c}
+        post, rate = new, {x: a / (a + b) for x, (a, b) in new.items()}
+    return post, (k + 1) / (n + 2)
+
+
+def plain_block(ab, every):
+    """Whether the posterior gives the rate QUANTILE to lie below the least one; None where that is a matter of rounding."""
+    p = beta_cdf(reputation.LEAST_SHARE * every, *ab)
+    return None if abs(p - reputation.QUANTILE) < 3e-3 else p > reputation.QUANTILE
+
+
 def test_posteriors_against_plain_ones(spark):
     rng = random.Random(3)
     rows = []
     for h in range(40):
         host = f"h{h}.d{h % 7}.{'com' if h % 7 < 4 else 'net'}"
         for _ in range(rng.randint(0, 30)):
-            rows.append((host, f"d{h % 7}", host.split(".")[-1], int(rng.random() < (0.9 if h % 7 < 5 else 0.4)) if rng.random() < 0.8 else None, rng.random() < 0.3))
-        rows.append((host, f"d{h % 7}", host.split(".")[-1], None, False))
-    got = {r["host"]: r for r in reputation.reputations(spark.createDataFrame(rows, "host string, domain string, suffix string, good int, ruled boolean")).collect()}
-    count = lambda key: {k: (sum(r[3] or 0 for r in rows if key(r) == k), sum(r[3] is not None for r in rows if key(r) == k)) for k in {key(r) for r in rows}}
-    k, n = map(sum, zip(*count(lambda r: 0).values(), strict=True))
-    prior = {s: (k + 1) / (n + 2) for s in ("com", "net")}
-    levels = ((lambda r: r[2], lambda r: r[2]), (lambda r: r[1], lambda r: r[2]), (lambda r: r[0], lambda r: r[1]))
-    for key, up in levels:
-        c, above = count(key), {key(r): up(r) for r in rows}
-        m = prior if key(rows[0]) == up(rows[0]) else {x: rate[above[x]] for x in c}
-        w = plain_strength([(*c[x], m[x]) for x in c])
-        rate = {x: (c[x][0] + w * m[x]) / (c[x][1] + w) for x in c}
-    assert set(got) == set(rate)
+            rows.append((host, f"d{h % 7}", host.split(".")[-1], int(rng.random() < (0.9 if h % 7 < 5 else 0.1)) if rng.random() < 0.8 else None))
+        rows.append((host, f"d{h % 7}", host.split(".")[-1], None))
+    rows += [("x.d9.com", "d9", "com", None), ("y.d9.org", "d9", "org", None)]
+    got = {r["host"]: r for r in reputation.reputations(spark.createDataFrame(rows, "host string, domain string, suffix string, good int")).collect()}
+    post, every = plain_posteriors(rows)
+    assert set(got) == set(post)
     for h, r in got.items():
-        a, b = c[h][0] + w * m[h], c[h][1] - c[h][0] + w * (1 - m[h])
-        assert r["host_rate"] == pytest.approx(rate[h]) and abs(beta_cdf(r["host_bound"], a, b) - 0.05) < 2e-3
-        assert r["open"] == sum(x[3] is not None and not x[4] for x in rows if x[0] == h)
-    order, room, least = sorted(got.values(), key=lambda r: r["host_bound"]), 0.1 * sum(r["open"] for r in got.values()), None
-    for r in order:
-        room -= r["open"]
-        if room < 0:
-            least = r["host_bound"]
-            break
-    t = reputation.threshold_of(spark.createDataFrame([(r["open"], r["host_bound"]) for r in order], "open long, host_bound double"))
-    assert least - 1 / reputation.BINS <= t <= least
+        a, b = post[h]
+        assert r["host_rate"] == pytest.approx(a / (a + b)) and abs(beta_cdf(r["host_bound"], a, b) - reputation.QUANTILE) < 2e-3
+        assert r["pages"] == sum(x[0] == h for x in rows) and r["labelled"] == sum(x[3] is not None for x in rows if x[0] == h) and r["all_rate"] == pytest.approx(every)
+    sure = {h: plain_block(post[h], every) for h in post}
+    assert {True, False} <= set(sure.values())
+    assert all(b is None or b == (got[h]["host_bound"] < reputation.LEAST_SHARE * every) for h, b in sure.items())
+
+
+def test_pages_of_a_hot_host_meet_it_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(reputation, "PARTS", 50)
+    urls = [f"http://hot.test/{i}" for i in range(400)] + [f"http://h{i % 100}.test/{i}" for i in range(300)]
+    got = verdicts(spark, urls * 2, [(i, int(i >= 400)) for i in range(700)])
+    assert len(got) == 1400 and {got[i] for i in range(400)} == {"block"} and {got[i] for i in range(400, 700)} == {"allow"}
 
 
 def test_outcomes_of_repeated_pages(spark):
@@ -254,6 +281,37 @@ def test_toxicity_on_held_out_texts():
     assert toxicity.fit([b"a", b"b"], [1, 1]).score(*batch(["x"]), None).tolist() == [1.0]
 
 
+def test_scores_are_recomputed_plainly():
+    """From single compressions of single windows: what the dictionaries save, the counts, the surplus, the curve."""
+    rng = random.Random(8)
+    texts = [(words_of(rng, 40) + (" nastyword vile" if i % 3 == 0 else "")).encode() for i in range(150)]
+    m = toxicity.fit(texts, [int(i % 3 == 0) for i in range(150)], {0: 100, 1: 50})
+    assert len(m.toxic) == len(m.ordinary) and m.toxic[-toxicity.SHARED_BYTES :] == m.ordinary[-toxicity.SHARED_BYTES :] and b"nastyword" in m.toxic
+    for t in ("", "One\tNASTYWORD  here vile", words_of(rng, 33)):
+        w = [x for x in re.split("[ \t-\r]+", t.lower()) if x]
+        # a window is as it stands in the text, each separator a space
+        spans = [x.span() for x in re.finditer("[^ \t-\r]+", t)]
+        low = re.sub("[\t-\r]", " ", t.lower())
+        windows = [low[spans[i][0] : spans[min(i + 1, len(w) - 1)][1]] for i in range(0, len(w), 2)]
+        saved = []
+        for x in windows:
+            ordinary, toxic = m.compressors()
+            raw = b" " * 48 + x.encode() + b" "
+            saved.append(len(ordinary(raw)) - len(toxic(raw)))
+        z, n = m.weights[-1] + m.weights[-2] * np.log1p(len(windows)), len(windows)
+        for j, s in enumerate(toxicity.SAVED):
+            k = sum(x >= s for x in saved)
+            z += m.weights[j] * min(12, max(-3, (k - n * m.chance[j]) / (n * m.chance[j] + 0.5) ** 0.5)) + m.weights[len(toxicity.SAVED) + j] * np.log1p(k)
+        assert m.score(*batch([t]), m.compressors())[0] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_few_examples_are_compressed_too():
+    """Two labelled texts, or classes without any telling run, give dictionaries and different scores."""
+    for texts in ([b"one toxic text", b"another ordinary text"], [f"{'bad' if i < 3 else 'good'} words {i}".encode() for i in range(9)]):
+        m = toxicity.fit(texts, [int(i < len(texts) / 3) for i in range(len(texts))])
+        assert m.toxic and m.toxic != m.ordinary and np.isfinite(m.score(*batch(["", "one toxic text", "x " * 5000]), m.compressors())).all()
+
+
 def test_marked_runs_against_plain_counts():
     rng = random.Random(2)
     toxic = [(words_of(rng, 30) + " Vile\tterm").encode() for _ in range(60)]
@@ -261,11 +319,11 @@ def test_marked_runs_against_plain_counts():
     got = toxicity.marked_runs(toxic, ordinary)
     plain = lambda t: {re.sub(rb"[\x09-\x0d]", b" ", t.lower())[i : i + 6] for i in range(len(t) - 5)}
     a, b = (Counter(x for t in ts for x in plain(t)) for ts in (toxic, ordinary))
-    want = {}
+    want, looked = {}, len(a) + len(b)
     for x, n in a.items():
-        p = (n + b[x]) / 260
-        z = (n / 60 - b[x] / 200) / (p * (1 - p) * (1 / 60 + 1 / 200)) ** 0.5 if p < 1 else 0
-        if z >= toxicity.MARKED and n > 2:
+        both, p = n + b[x], 60 / 260
+        z = n * np.log(n / (both * p)) + (b[x] * np.log(b[x] / (both * (1 - p))) if b[x] else 0)
+        if n / both > p and z >= np.log(looked + 1):
             want[int.from_bytes(x, "little")] = z
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
     content = toxicity.passages(toxic, got, 1 << 16)
