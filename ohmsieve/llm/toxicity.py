@@ -5,21 +5,29 @@ text.  The ordinary one is what the library's own trainer makes of ordinary
 documents.  The toxic one ends in the same passages, so that common language
 is short under either; before them it has passages of toxic documents, chosen
 as the trainer chooses them (greedily, by the worth of the byte runs in a
-passage that no chosen passage has), but with the worth of a run being how far
-its share of toxic documents exceeds its share of ordinary ones, in standard
-errors.
+passage that no chosen passage has), but with the worth of a run being the
+logarithm of how unlikely its share of toxic documents is by chance.  A run
+counts if that exceeds the logarithm of the number of runs looked at, so few
+examples must agree more clearly, but no least number is set.  If no run
+counts, the passages are what the trainer makes of the toxic documents.
 
-Every window of a few words is compressed with both, behind a fixed run of
+Every window of two words is compressed with both, behind a fixed run of
 spaces so that its block is always a compressed one.  A document's profile
 counts the windows that the toxic dictionary makes shorter by at least so many
-bytes; a logistic curve fitted on labelled documents that no dictionary has
-seen turns it into a probability, with 0.5 as the threshold.
+bytes, and says by how many standard deviations that is more than as many
+windows of ordinary text have; a logistic curve turns it into a probability,
+with 0.5 as the threshold.  It is fitted on profiles by dictionaries that have
+not seen the document (FOLDS parts of the examples); the dictionaries used are
+those of all examples.
 
 Defined cases: a null or empty text has no window and gets the score of an
 empty profile; without examples of both classes every score is the share of
-toxic labels (0 without labels); rows with equal texts get equal scores; a
-column that has the score's name is replaced by it; an empty table gives no
-row; other columns are ignored.
+toxic labels (0 without labels); with any two examples of different classes
+texts are compressed; rows with equal texts get equal scores; a text of any
+length is scored whole, in a slice of its own; a dictionary holds DICT_BYTES at
+most, and once it is full the passages of least worth stay out; a column that
+has the score's name is replaced by it; an empty table gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,16 +47,15 @@ from . import textvec as tv
 from .sample import labelled_texts, logistic, natural, slices
 from .store import extended, read, small_batches
 
-WINDOW_WORDS = 4
+WINDOW_WORDS = 2
 #: Labelled documents of each class that may be used for fitting, and the bytes of the longest.
 TRAIN_DOCS, TRAIN_BYTES = 2500, 32768
-#: Bytes of a run, of a passage, and of the passages that both dictionaries end in.
-RUN, PASSAGE, SHARED_BYTES = 6, 12, 8192
-#: Standard errors by which a run's share of toxic documents must exceed its share of ordinary ones.
-MARKED = 6.0
+#: Bytes of a run, of a passage, and of the passages that both dictionaries end in; of the trainer's toxic passages where no run counts.
+RUN, PASSAGE, SHARED_BYTES, PLAIN_BYTES = 6, 12, 256, 2048
 #: zstandard's own default size of a dictionary.
 DICT_BYTES = 112_640
-SAVED = (2, 3, 4, 5, 6, 8)
+#: Bytes saved that the profile counts windows by, and parts of the examples.
+SAVED, FOLDS = tuple(range(1, 13)), 3
 LEAD = b" " * 48
 U = np.uint64
 
@@ -57,12 +64,13 @@ U = np.uint64
 class CompressionModel:
     toxic: bytes = b""
     ordinary: bytes = b""
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(SAVED) + 3))
+    chance: np.ndarray = field(default_factory=lambda: np.zeros(len(SAVED)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * len(SAVED) + 2))
     prior: float = 0.0
 
     def compressors(self):
-        size = max(len(self.toxic), 64)
-        params = zstandard.ZstdCompressionParameters.from_level(12, source_size=256, dict_size=size, strategy=zstandard.STRATEGY_LAZY2, min_match=4, write_content_size=False, write_dict_id=False)
+        size = max(len(self.ordinary), len(self.toxic), 64)
+        params = zstandard.ZstdCompressionParameters.from_level(12, source_size=256, dict_size=size, strategy=zstandard.STRATEGY_LAZY2, min_match=6, write_content_size=False, write_dict_id=False)
         out = []
         for content in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -71,7 +79,7 @@ class CompressionModel:
         return out
 
     def profiles(self, data: np.ndarray, offs: np.ndarray, compressors) -> np.ndarray:
-        """A row of features for each document."""
+        """For each document how many windows the toxic dictionary makes shorter by each of SAVED, and how many windows there are."""
         docs = len(offs) - 1
         low = plain(data)
         starts, ends, ptr = tv.words(low, offs)
@@ -81,17 +89,22 @@ class CompressionModel:
         first = ptr[:-1][doc] + nth * WINDOW_WORDS
         last = np.minimum(first + WINDOW_WORDS, ptr[1:][doc]) - 1
         raw, (ordinary, toxic) = low.tobytes(), compressors
-        # the space before each window's first word is part of it
-        saved = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (b"%b %b" % (LEAD, raw[a:b]) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True))), np.int64, len(doc))
-        most = np.zeros(docs)
-        np.maximum.at(most, doc, saved)
-        counts = [np.bincount(doc[saved >= s], minlength=docs) for s in SAVED]
-        return np.stack([*(np.log1p(c) for c in counts), np.log1p(per), most / 5, np.ones(docs)], 1)
+        # the space before each window's first word and behind its last is part of it
+        saved = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (b"%b%b " % (LEAD, raw[a:b]) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True))), np.int64, len(doc))
+        return np.stack([*(np.bincount(doc[saved >= s], minlength=docs) for s in SAVED), per], 1).astype(float)
 
     def score(self, data: np.ndarray, offs: np.ndarray, compressors) -> np.ndarray:
         if not self.toxic:
             return np.full(len(offs) - 1, self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.profiles(data, offs, compressors) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(features(self.profiles(data, offs, compressors), self.chance) @ self.weights, -30, 30)))
+
+
+def features(counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """What the curve reads of profiles; ``chance`` is the share of ordinary text's windows for each of SAVED."""
+    k, n = counts[:, :-1], counts[:, -1:]
+    expected = n * chance
+    surplus = np.clip((k - expected) / np.sqrt(expected + 0.5), -3, 12)
+    return np.concatenate([surplus, np.log1p(k), np.log1p(n), np.ones((len(n), 1))], 1)
 
 
 def plain(data: np.ndarray) -> np.ndarray:
@@ -141,15 +154,14 @@ def text_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked_runs(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, float]:
-    """Runs that toxic texts have significantly more often, and by how many standard errors."""
+    """Runs that toxic texts have too often for chance, and the logarithm of how unlikely that is (Chernoff's bound of the binomial tail)."""
     (v, a), (w, c) = text_counts(toxic), text_counts(ordinary)
     at = np.minimum(np.searchsorted(w, v), max(0, len(w) - 1))
     b = np.where(w[at] == v, c[at], 0) if len(w) else np.zeros(len(v))
-    n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
-    p = (a + b) / (n1 + n0)
-    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    keep = (z >= MARKED) & (a > 2)
-    return dict(zip(v[keep].tolist(), z[keep].tolist(), strict=True))
+    n, share = a + b, len(toxic) / max(1, len(toxic) + len(ordinary))
+    worth = a * np.log(a / (n * share)) + b * np.log(np.maximum(b, 1) / np.maximum(n * (1 - share), 1e-12))
+    keep = (a > n * share) & (worth >= np.log(len(v) + len(w) + 1))
+    return dict(zip(v[keep].tolist(), worth[keep].tolist(), strict=True))
 
 
 def passages(texts: list[bytes], worth: dict[int, float], size: int) -> bytes:
@@ -186,7 +198,8 @@ def passages(texts: list[bytes], worth: dict[int, float], size: int) -> bytes:
 
 def trained(texts: list[bytes], size: int) -> bytes:
     """What zstandard's trainer makes of some texts; where they are too few for it, the texts themselves."""
-    samples = [plain(np.frombuffer(t, np.uint8)).tobytes() for t in texts if len(t) >= 8]
+    samples = [plain(np.frombuffer(t, np.uint8)).tobytes() for t in texts]
+    samples = [t for t in samples if len(t) >= 8] or [b" ".join(samples) or b" "]
     try:
         content = zstandard.train_dictionary(max(1024, size), samples, k=64, d=6).as_bytes()
     except zstandard.ZstdError:
@@ -196,28 +209,37 @@ def trained(texts: list[bytes], size: int) -> bytes:
     return content[-size:]
 
 
+def dictionaries(texts: list[bytes], labels: list[int]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary), of one length, equal in their last SHARED_BYTES."""
+    fresh = apart(texts)
+    toxic, ordinary = ([t for t, v, f in zip(texts, labels, fresh, strict=True) if f and v == c] for c in (1, 0))
+    # a class whose texts all look like earlier ones of the other is taken as it is
+    toxic, ordinary = (some or [t for t, v in zip(texts, labels, strict=True) if v == c] for some, c in ((toxic, 1), (ordinary, 0)))
+    own = passages(toxic, marked_runs(toxic, ordinary), DICT_BYTES - SHARED_BYTES) or trained(toxic, PLAIN_BYTES)
+    common = trained(ordinary, SHARED_BYTES)
+    return own + common, (common * (1 + -(-len(own) // len(common))))[-len(own) - len(common) :]
+
+
 def fit(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = None) -> CompressionModel:
-    """Dictionaries from seven tenths of the examples, the curve from the rest, with classes weighted as in ``totals``."""
+    """Dictionaries from all examples, the curve from profiles by those of other examples, with classes weighted as in ``totals``."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return CompressionModel(prior=float(y.mean()) if len(y) else 0.0)
-    learn = np.array([zlib.crc32(t) % 10 < 7 for t in texts])
-    for side in (learn, ~learn):
-        if len(set(y[side])) < 2:
-            learn = np.arange(len(y)) >= 0
-            break
-    fresh = apart(texts)
-    toxic, ordinary = ([t for t, v, k, f in zip(texts, labels, learn, fresh, strict=True) if k and f and v == c] for c in (1, 0))
-    own = passages(toxic, marked_runs(toxic, ordinary), DICT_BYTES - SHARED_BYTES)
-    common = trained(ordinary, len(own) + SHARED_BYTES)
-    if not own or len(common) < len(own):
-        return CompressionModel(prior=float(y.mean()))
-    model = CompressionModel(own + common[len(own) :], common, prior=float(y.mean()))
-    held = ~learn if (~learn).any() else learn
-    side = [t for t, k in zip(texts, held, strict=True) if k]
-    pair = model.compressors()
-    x = np.concatenate([model.profiles(data, offs, pair) for data, offs in slices(side)])
-    model.weights = logistic(x, y[held], natural(y[held], totals or {}), ridge=2e-4)
+    # parts of each class in turn, so that the others have both classes wherever there are two examples of each
+    order = sorted(range(len(texts)), key=lambda i: (labels[i], zlib.crc32(texts[i]), texts[i]))
+    part = np.empty(len(texts), int)
+    part[order] = np.arange(len(texts)) % FOLDS
+    model = CompressionModel(*dictionaries(texts, labels), prior=float(y.mean()))
+    x = np.zeros((len(y), len(SAVED) + 1))
+    for k in range(FOLDS):
+        mine, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        other = CompressionModel(*dictionaries([texts[i] for i in rest], y[rest].tolist())) if len(set(y[rest])) == 2 else model
+        pair = other.compressors()
+        if len(mine):
+            x[mine] = np.concatenate([other.profiles(data, offs, pair) for data, offs in slices([texts[i] for i in mine])])
+    quiet = x[y == 0].sum(0)
+    model.chance = (quiet[:-1] + 0.5) / (quiet[-1] + 1)
+    model.weights = logistic(features(x, model.chance), y, natural(y, totals or {}), ridge=1e-3)
     return model
 
 
