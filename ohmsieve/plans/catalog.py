@@ -12,7 +12,6 @@ from ..operators import decisions, features, residuals, rules, scenario
 from ..sources import io
 from ..sources import schema as S
 from ..sources.telemetry import VIEW, as_sql, telemetry
-from . import models
 from .session import tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -777,78 +776,3 @@ def frame_sql() -> str:
 @query("feature_frame", frame_sql())
 def feature_frame(spark, d):
     return features.feature_frame(telemetry(spark, d))
-
-
-# -- models: boosting has no counterpart in SQL -----------------------------
-
-#: The reference's folds, depths and rates, with few trees.
-SMALL = models.Settings(surrogate_trees=3, trees=3, categorical_trees=3, parallel=2)
-
-
-def modelled(spark: SparkSession, d: str, *keys: str) -> DataFrame:
-    """All rows with their folds, the columns of some feature families and the key columns; the whole frame takes minutes to plan."""
-    seen = [x for s in residuals.TARGETS.values() for x in s if x]
-    out = features.family_columns(telemetry(spark, d), *rules.NEEDS, "percentages", "temperature", keys=("Id", "Label", *seen, *keys))
-    out = out.select("*", *[c.alias(k) for k, c in rules.aggregates().items()])
-    return rules.refreshed(out, ["noncanonical"]).withColumn("fold", F.pmod("Id", F.lit(SMALL.folds)).cast("int")).persist()
-
-
-def by_family(rows: DataFrame, modelled_part: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Each family's rows by models of its own; the rows of no family by ``rest``."""
-    out = rest(rows.filter(~F.col("device_family").isin(list(features.FAMILY_CODE))))
-    for name in features.FAMILY_CODE:
-        part = rows.filter(F.col("device_family") == name)
-        if not part.isEmpty():
-            out = out.unionByName(modelled_part(part))
-    return out
-
-
-@query("surrogate_fit_score")
-def surrogate_fit_score(spark, d):
-    def shown(part: DataFrame, fitted: dict, inputs: list[str]) -> DataFrame:
-        return residuals.residuals(models.with_predictions(part, fitted, inputs)).select("Id", *[f"{k}_{t}" for t in residuals.TARGETS for k in ("pred", "resid")])
-
-    def family(part: DataFrame) -> DataFrame:
-        inputs = models.kept_columns(part, models.surrogate_columns(part))
-        return shown(part, models.fit_surrogates(part, SMALL, inputs), inputs)
-
-    return by_family(modelled(spark, d), family, lambda part: shown(part, dict.fromkeys(residuals.TARGETS), ["fold"]))
-
-
-#: The whole path with few and shallow trees, by the reference's folds.
-TINY = models.Settings(surrogate_trees=1, surrogate_depth=2, trees=1, depth=3, categorical_trees=1)
-#: The feature families of that run, beside those that the rules need: what scenarios, residuals and their modes read.
-PATH = ("mirror", "missingness", "percentages", "curves", "droop")
-
-
-def fit_predict(spark, d):
-    """Fits on all rows, then scores them as new ones; no registered query, for it takes minutes."""
-    t = telemetry(spark, d)
-    return models.score(t.drop("Label"), models.fit(t, TINY, PATH))
-
-
-def unmodelled(part: DataFrame) -> DataFrame:
-    return models.probability(part, None, "probability_1").select("Id", "fold", "probability_1")
-
-
-@query("oof_numeric")
-def oof_numeric(spark, d):
-    def family(part: DataFrame) -> DataFrame:
-        inputs = models.kept_columns(part, models.numeric_columns(part))
-        return models.out_of_fold(models.vectors(part, inputs), SMALL, SMALL.trees, "fold", "probability_1").select("Id", "fold", "probability_1")
-
-    return by_family(modelled(spark, d), family, unmodelled)
-
-
-@query("oof_categorical")
-def oof_categorical(spark, d):
-    def family(part: DataFrame) -> DataFrame:
-        numbers, strings = models.companion_columns(part)
-        codes = [f"_code_{c}" for c in strings]
-        indexed = models.StringIndexer(inputCols=strings, outputCols=codes, handleInvalid="keep").fit(part).transform(part)
-        indexed = indexed.withColumns({k: F.when(F.col(c).isNotNull(), F.col(k)) for c, k in zip(strings, codes, strict=True)})
-        inputs = models.kept_columns(indexed, [*numbers, *codes])
-        return models.out_of_fold(models.vectors(indexed, inputs), SMALL, SMALL.categorical_trees, "fold", "probability_1").select("Id", "fold", "probability_1")
-
-    present = telemetry(spark, d).columns
-    return by_family(modelled(spark, d, *[S.safe(c) for c in S.STRINGS if S.safe(c) in present]), family, unmodelled)
