@@ -55,11 +55,17 @@ def family_rates(df: DataFrame) -> DataFrame:
     return df.groupBy("device_family").agg((F.sum(F.col("Label").cast("long")) / F.count(F.lit(1))).alias("prior"))
 
 
-def leave_fold_out(df: DataFrame, keys: tuple[str, ...], fold: Column) -> DataFrame:
-    """Per key and fold, label sum and count over the other folds: two small aggregates, no window over rows."""
-    by_fold = df.withColumn("fold", fold).groupBy(*keys, "fold").agg(F.sum(F.col("Label").cast("long")).alias("s"), F.count(F.lit(1)).alias("c"))
-    whole = by_fold.groupBy(*keys).agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
-    return by_fold.join(whole, list(keys)).select(*keys, "fold", (F.col("ts") - F.col("s")).alias("total"), (F.col("tc") - F.col("c")).alias("n"))
+def leave_fold_out(df: DataFrame, keys: tuple[str, ...], fold: Column, folds: int = FOLDS) -> DataFrame:
+    """Per key and fold (0 to ``folds`` - 1, or null), label sum and count over the other folds.
+
+    One aggregate by key sums all folds side by side, so neither aggregates nor rows are joined to tell a fold from the others.
+    """
+    own = [F.col("_fold").eqNullSafe(k) for k in (*range(folds), None)]
+    y = F.col("Label").cast("long")
+    sums = [F.sum(F.when(f, y)).alias(f"_s{i}") for i, f in enumerate(own)] + [F.count_if(f).alias(f"_c{i}") for i, f in enumerate(own)]
+    whole = df.withColumn("_fold", fold).groupBy(*keys).agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_c"), *sums)
+    each = [F.struct(F.lit(k if k < folds else None).cast("int").alias("fold"), (F.col("_s") - F.col(f"_s{k}")).alias("total"), (F.col("_c") - F.col(f"_c{k}")).alias("n"), F.col(f"_c{k}").alias("_own")) for k in range(folds + 1)]
+    return whole.select(*keys, F.inline(F.array(*each))).filter("_own > 0").drop("_own")
 
 
 def out_of_fold(df: DataFrame, which: tuple[str, ...] = ("scenario", "scenario_output")) -> DataFrame:
