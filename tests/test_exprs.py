@@ -20,6 +20,16 @@ def test_guarded_divide_and_flags(spark):
     assert [r["f"] for r in got] == [True] * 4 + [False] * 3 + [True]
 
 
+def test_finiteness_is_one_comparison(spark):
+    """Wide frames ask for it hundreds of times a row."""
+    rows = [(None,), (NAN,), (INF,), (-INF,), (0.0,), (-1.5,), (1.7976931348623157e308,)]
+    x = F.col("x")
+    df = spark.createDataFrame(rows, "x double").select(E.ok(x).alias("o"), E.fin(x).alias("f"), E.finite(x).alias("v"))
+    assert [tuple(r) for r in df.collect()] == [(None, False, None)] + [(False, False, None)] * 3 + [(True, True, v[0]) for v in rows[4:]]
+    plan = df.select("f", "v")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "isnan" not in plan and "isnotnull" not in plan
+
+
 def test_close_and_tolerance(spark):
     rows = [(1.0, 1.00001), (1.0, 1.0001), (0.0, 1e-8), (None, 1.0), (INF, INF)]
     got = one(spark, "a double, b double", rows, c=E.close(F.col("a"), F.col("b")), t=E.tolerance(50, 0.02, F.col("a")))

@@ -173,3 +173,13 @@ def test_shared_quantities_are_planned_once(spark):
     t = telemetry(spark, "/root/testdata/sf0.001")
     plan = features.planned(t, lambda r: features.curve(r, "wattvar"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("DERWattVar_0_Crv_2_Pt_5_W") < 12 and plan.count("Project") >= 3
+
+
+def test_families_are_built_once_for_all_levels(spark):
+    t, calls = telemetry(spark, "/root/testdata/sf0.001"), []
+
+    def build(r):
+        calls.append(1)
+        return features.curve(r, "voltwatt")
+
+    assert features.planned(t, build).count() > 0 and len(calls) == 1
