@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .components import connected
-from .store import Workspace, read, small_batches
+from .components import components
+from .store import Workspace, local_rows, read, small_batches
 
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -201,7 +201,7 @@ def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
     p = F.col("p")
     rows = ids.select(id_place(bits).alias("p")).groupBy(F.bitmap_bucket_number(p).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("m"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for k, m in rows.toLocalIterator():  # 2 ** bits / 32768 rows of 4096 bytes at most
+    for k, m in local_rows(rows, "filter"):  # 2 ** bits / 32768 rows of 4096 bytes at most
         out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(m), np.uint8)
     return out
 
@@ -262,7 +262,8 @@ def frequency_levels(sets: DataFrame, buckets: int, size: int) -> np.ndarray:
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "cells": [cells.tobytes()]})
 
     out = np.zeros(1 << size, np.uint8)
-    for b, cells in sets.select("sset").mapInArrow(deal, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(reduce, "bucket int, cells binary").toLocalIterator():  # 2 ** size bytes in all
+    rows = sets.select("sset").mapInArrow(deal, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(reduce, "bucket int, cells binary")
+    for b, cells in local_rows(rows, "levels"):  # 2 ** size bytes in all
         out[b * width : (b + 1) * width] = np.frombuffer(bytes(cells), np.uint8)
     return out
 
@@ -511,7 +512,7 @@ def links_within(ws: Workspace, sets: DataFrame, near: DataFrame) -> DataFrame:
     # rows near a pivot that they are not connected with meet the rows that it covers, part by part
     visits = first.filter("kind = 2").select("component", F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
     if not visits.isEmpty():
-        joined = ws.table("joined", connected(ws, "pivot", first.filter("kind = 0").select("a", "b")))
+        joined = ws.table("joined", components(ws, "pivot", first.filter("kind = 0").select("a", "b")))
         label = lambda name: joined.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}"))
         visits = visits.join(label("doc_id"), "doc_id", "left").join(label("pivot"), "pivot", "left")
         visits = ws.table("visits", visits.filter(F.coalesce("of_doc_id", "doc_id") != F.coalesce("of_pivot", "pivot")).select("component", "doc_id", "pivot"))
@@ -591,7 +592,7 @@ def similar(docs: DataFrame) -> DataFrame:
     sizes = {r[0]: r[1] for r in sets.filter(F.col("n") <= LIGHT_SIZES).groupBy("n").count().collect()}  # a few sizes
     light = boundary(sizes, 1 + float(levels.mean()))
     edges = ws.table("stars", stars(list_entries(sets, levels, light, few)))
-    near = ws.table("groups", connected(ws, "cand", edges.filter("NOT proven").select("a", "b")))
+    near = ws.table("groups", components(ws, "cand", edges.filter("NOT proven").select("a", "b")))
     links = links_within(ws, sets, near).unionByName(edges.filter("proven").select("a", "b"))
     # a doc_id whose rows are in several classes connects them
     twice = ids.filter((F.col("rows") > 1) & known).select("doc_id")
@@ -600,7 +601,7 @@ def similar(docs: DataFrame) -> DataFrame:
         both = info.join(twice, "doc_id", "left_semi").join(classes, ["n", "sign_a", "sign_b"]).select("doc_id", "rep").distinct()
         least = ws.table("least", both.groupBy("doc_id").agg(F.min("rep").alias("least")))
         links = links.unionByName(both.join(least, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    comps = ws.table("comps", connected(ws, "comp", ws.table("links", links)))
+    comps = ws.table("comps", components(ws, "comp", ws.table("links", links)))
     ws.drop("sets", "near", "stars", "groups", "links", "parts", "ids", "chosen", "pivots", "round", "alone", "hosts", "guests", "visits", "joined")
     named = classes.join(comps, classes["rep"] == comps["id"], "left").select("n", "sign_a", "sign_b", F.coalesce("component", "rep").alias("component"))
     named = ws.table("named", named)

@@ -2,14 +2,15 @@
 
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from ohmsieve.llm import jaccard, suffix
-from ohmsieve.llm.components import connected
-from ohmsieve.llm.store import Workspace
+from ohmsieve.llm.components import components, connected, contracted
+from ohmsieve.llm.store import Workspace, local_rows
 
 from .test_text import docs
 
@@ -189,6 +190,57 @@ def test_components(spark):
     assert connected(Workspace(spark, "cc"), "t", spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_contracted_edges_connect_the_same(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(a, a - 1) for a in range(1000, 1300)] + [(5000, i) for i in range(2000, 2400)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    want = plain_paths(pairs)
+    few = [tuple(r) for r in contracted(edges, 40).collect()]
+    assert len(few) <= len(pairs) and plain_paths(few) == want
+    for how in (connected, components):
+        got = [tuple(r) for r in how(Workspace(spark, "cc"), "t", edges).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert components(Workspace(spark, "cc"), "t", spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def plain_paths(pairs):
+    up = {i: i for e in pairs for i in e if e[0] != e[1]}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        if a != b:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    return {i: top(i) for i in up}
+
+
+def jobs_of(spark, run):
+    """How many Spark jobs a call starts."""
+    name = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_large_groups_take_few_jobs(spark):
+    # near copies: all lists meet in one group, whose edges tasks put together before any shuffle
+    pairs = [(i, j) for i in range(400) for j in (i // 2, i // 3, i * 7 % 400)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(16)
+    got, jobs = jobs_of(spark, lambda: components(Workspace(spark, "cc"), "t", edges).collect())
+    assert {r["component"] for r in got} == {0} and len(got) == 400 and jobs <= 45
+    # one job after the other for each of the tasks, before
+    rows = spark.range(64).repartition(64, "id").selectExpr("id", "cast(id as string) as s")
+    got, jobs = jobs_of(spark, lambda: sorted(r[0] for r in local_rows(rows, "rows")))
+    assert got == list(range(64)) and jobs < 40
+
+
 def plain_spans(rows):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
     grams = Counter(tuple(w[k : k + 50]) for w in words.values() for k in range(len(w) - 49))
